@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlane.functions.text import SPACE, strip, to_str
+from leadlane.functions.text import SPACE, let, strip, to_str
 
 # Patterns.
 _AT = rf"(?iu){SPACE}*[\[(]{SPACE}*at{SPACE}*[\])]{SPACE}*"
-_NOT_AT_OR_SPACE = "[^@" + SPACE[1:]
-_EMAIL = rf"^{_NOT_AT_OR_SPACE}+@{_NOT_AT_OR_SPACE}+\.{_NOT_AT_OR_SPACE}+$"
+_EMAIL = r"^[^@]+@[^@]+\.[^@]+$"
 _SCHEME = r"(?iu)^https?://"
 _WWW = r"(?iu)^www\."
 _TLD = r"\.([a-z]+)(?:/|$)"
@@ -30,13 +29,18 @@ def email_or_null(address: Column) -> Column:
 
 
 def email_is_valid(address: Column) -> Column:
-    return F.coalesce(address.contains("@") & address.rlike(_EMAIL), F.lit(False))
+    """One at sign, a dot inside what follows it, and no whitespace."""
+    return F.coalesce(address.contains("@") & address.rlike(_EMAIL) & ~address.rlike(SPACE), F.lit(False))
 
 
 def clean_email(raw: Column) -> Column:
     """Struct of ``email`` (null when there is no at sign) and ``email_valid``."""
-    address = email_text(to_str(raw))
-    return F.struct(email_or_null(address).alias("email"), email_is_valid(address).alias("email_valid"))
+    return let(
+        let(to_str(raw), email_text),
+        lambda address: F.struct(
+            email_or_null(address).alias("email"), email_is_valid(address).alias("email_valid")
+        ),
+    )
 
 
 def email_domain(email: Column) -> Column:
@@ -69,11 +73,15 @@ def is_explicit_dup(cell: Column) -> Column:
 
 def parse_lead_id(raw: Column) -> Column:
     """Struct of ``raw``, ``canonical``, ``is_explicit_dup`` and ``looks_valid``."""
-    cell = to_str(raw)
-    canonical = canonical_id(cell)
-    return F.struct(
-        cell.alias("raw"),
-        canonical.alias("canonical"),
-        is_explicit_dup(cell).alias("is_explicit_dup"),
-        canonical.isNotNull().alias("looks_valid"),
+    return let(
+        to_str(raw),
+        lambda cell: let(
+            canonical_id(cell),
+            lambda canonical: F.struct(
+                cell.alias("raw"),
+                canonical.alias("canonical"),
+                is_explicit_dup(cell).alias("is_explicit_dup"),
+                canonical.isNotNull().alias("looks_valid"),
+            ),
+        ),
     )

@@ -1,16 +1,16 @@
 """Date expression.
 
-A cell is reduced to three tokens (``date_tokens``), these to numbers (``date_parts``), and the numbers are
-read as year, month and day (``date_order``, ``date_of``). A plan computes each step in a projection of its
+A cell is reduced to three tokens (``date_text``, ``date_tokens``), these to numbers (``date_parts``), and the
+numbers are read as year, month and day (``date_order``, ``date_of``). A plan computes each step in a projection of its
 own. Texts with fewer than three parts have no date of their own and give null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlane.functions.text import SPACE, to_str
+from leadlane.functions.text import SPACE, let, to_str
 
 # Names and shapes.
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -26,6 +26,7 @@ _TIME = (
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _NUMBER = r"\d{1,2}|\d{4}"
 _THREE_TOKENS = rf"^(?:{_NUMBER}|{_MONTH_NAME})/(?:{_NUMBER}|{_MONTH_NAME})/(?:{_NUMBER}|{_MONTH_NAME})$"
+_THREE_NUMBERS = rf"^(?:{_NUMBER})/(?:{_NUMBER})/(?:{_NUMBER})$"
 _PLAIN = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}$"
 _ORDINAL = r"(?<=\d)(?:st|nd|rd|th)\b"
 _BREAK = rf"(?:{SPACE}|[,./-])+(?:of{SPACE}+)?|(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)"
@@ -37,38 +38,44 @@ HYPHEN_IS_DAY_FIRST = True
 CENTURY_WINDOW = 50
 
 
-def date_tokens(cell: Column) -> Column:
-    """The three parts of a date as ``a/b/c``, lower case, without weekday, time and ordinal endings."""
+def date_text(cell: Column) -> Column:
+    """The parts of a date as ``a/b/c``, lower case, without weekday, time and ordinal endings."""
     text = F.regexp_replace(F.regexp_replace(F.lower(cell), _WEEKDAY, ""), _TIME, "")
     text = F.regexp_replace(text, _COMPACT, "$1/$2/$3")
     general = F.regexp_replace(F.regexp_replace(text, _ORDINAL, ""), _BREAK, "/")
     return F.when(cell.rlike(_PLAIN), F.translate(cell, "-", "/")).otherwise(general)
 
 
+def date_tokens(text: Column) -> Column:
+    """Array of the three parts; null unless each is a number of usable length or a month name."""
+    return F.when(text.rlike(_THREE_NUMBERS) | text.rlike(_THREE_TOKENS), F.split(text, "/"))
+
+
 def is_day_first(cell: Column) -> Column:
     return F.lit(HYPHEN_IS_DAY_FIRST) & cell.contains("-") & ~cell.rlike(_ISO)
 
 
 def date_parts(tokens: Column) -> Column:
-    """Struct of the three tokens as numbers, with the position of a month name (0 for none).
+    """Struct of the three tokens as numbers, with the position of a month name (0 for none)."""
+    part = [tokens[i] for i in range(3)]
 
-    Null unless there are exactly three usable tokens.
-    """
-    part = [F.split_part(tokens, F.lit("/"), F.lit(i)) for i in (1, 2, 3)]
+    def is_name(token: Column) -> Column:
+        return token >= "a"
 
-    def number(text: Column) -> Column:
-        month = (F.instr(F.lit(_MONTHS), F.substring(text, 1, 3)) + 2) / 3
-        return F.coalesce(text.try_cast("int"), month.cast("int"))
+    def number(token: Column) -> Column:
+        month = (F.instr(F.lit(_MONTHS), F.substring(token, 1, 3)) + 2) / 3
+        return F.when(is_name(token), month.cast("int")).otherwise(token.try_cast("int"))
 
+    named = F.when(is_name(part[0]), 1).when(is_name(part[1]), 2).when(is_name(part[2]), 3).otherwise(0)
+    lengths = [F.octet_length(token) == 4 for token in part]
+    full_year = ((named != 1) & lengths[0]) | ((named != 2) & lengths[1]) | ((named != 3) & lengths[2])
     return F.when(
-        tokens.rlike(_THREE_TOKENS),
+        tokens.isNotNull(),
         F.struct(
-            number(part[0]).alias("a"),
-            number(part[1]).alias("b"),
-            number(part[2]).alias("c"),
-            F.coalesce(*[F.when(text.rlike("[a-z]"), i) for i, text in enumerate(part, 1)], F.lit(0)).alias("named"),
-            (F.length(part[0]) == 4).alias("year_leads"),
-            tokens.rlike(r"(?:^|/)\d{4}(?:/|$)").alias("full_year"),
+            *[number(token).alias(name) for token, name in zip(part, "abc")],
+            named.alias("named"),
+            ((named != 1) & lengths[0]).alias("year_leads"),
+            full_year.alias("full_year"),
         ),
     )
 
@@ -106,6 +113,22 @@ def date_of(order: Column) -> Column:
     return F.when(possible, F.try_make_timestamp(year, order["m"], order["d"], zero, zero, zero).cast("date"))
 
 
+def add_date(df: DataFrame, cell: str, name: str) -> DataFrame:
+    """Add the date of a cell column, one step per projection."""
+    steps = df.withColumn("date_text", date_text(F.col(cell)))
+    steps = steps.withColumn("date_tokens", date_tokens(F.col("date_text")))
+    steps = steps.withColumn("date_parts", date_parts(F.col("date_tokens")))
+    steps = steps.withColumn("date_order", date_order(F.col("date_parts"), is_day_first(F.col(cell))))
+    steps = steps.withColumn(name, date_of(F.col("date_order")))
+    return steps.drop("date_text", "date_tokens", "date_parts", "date_order")
+
+
 def parse_date(raw: Column) -> Column:
-    cell = to_str(raw)
-    return date_of(date_order(date_parts(date_tokens(cell)), is_day_first(cell)))
+    """The same as one expression, for use outside a plan of one's own."""
+    return let(
+        to_str(raw),
+        lambda cell: let(
+            let(let(date_text(cell), date_tokens), date_parts),
+            lambda parts: let(date_order(parts, is_day_first(cell)), date_of),
+        ),
+    )

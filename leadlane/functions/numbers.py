@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlane.functions.text import SPACE, strip, to_str
+from leadlane.functions.text import SPACE, let, strip, to_str
 
 # Patterns.
 _RANGE = rf"(\d+){SPACE}*-{SPACE}*(\d+)"
@@ -20,7 +20,7 @@ _BUDGET_SINGLE = rf"^{_AMOUNT}{SPACE}*k?$"
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
 
 
 def employees(cell: Column) -> Column:
@@ -35,7 +35,7 @@ def employees(cell: Column) -> Column:
 
 
 def parse_employees(raw: Column) -> Column:
-    return employees(to_str(raw))
+    return let(to_str(raw), employees)
 
 
 def budget_text(cell: Column) -> Column:
@@ -56,4 +56,4 @@ def budget(text: Column) -> Column:
 
 
 def parse_budget(raw: Column) -> Column:
-    return budget(budget_text(to_str(raw)))
+    return let(let(to_str(raw), budget_text), budget)

@@ -7,6 +7,7 @@ cells once in a projection of their own and the parsers then refer to them by na
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -42,13 +43,22 @@ def to_str(raw: Column) -> Column:
     return blank_to_null(strip(raw.cast("string")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it.
+
+    Only for single expressions: it takes them out of generated code, which projections in a row do not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(cell: Column) -> Column:
-    """Collapse whitespace runs to one space."""
-    return F.regexp_replace(cell, SPACE + "+", " ")
+    """Collapse whitespace runs to one space. Printable ASCII without double spaces is left as it is."""
+    may_change = cell.contains("  ") | cell.rlike("[^ -~]")
+    return F.when(may_change, F.regexp_replace(cell, SPACE + "+", " ")).otherwise(cell)
 
 
 def clean_text(raw: Column) -> Column:
-    return squeeze(to_str(raw))
+    return let(to_str(raw), squeeze)
 
 
 clean_name = clean_company = clean_title = clean_text

@@ -72,7 +72,6 @@ def clean_rows(df: DataFrame) -> DataFrame:
         contact.canonical_id(F.col("lead_id")).alias("lead_id_canonical"),
         contact.is_explicit_dup(F.col("lead_id")).alias("lead_id_is_explicit_dup"),
         F.col("created").alias("created_cell"),
-        dates.date_tokens(F.col("created")).alias("date_tokens"),
         squeeze(F.col("name")).alias("name"),
         contact.email_text(F.col("email")).alias("address"),
         squeeze(F.col("company")).alias("company"),
@@ -83,13 +82,9 @@ def clean_rows(df: DataFrame) -> DataFrame:
         numbers.budget_text(F.col("monthly_budget")).alias("budget_text"),
         F.coalesce(squeeze(F.col("notes")), F.lit("")).alias("notes"),
     )
-    numbered = parsed.withColumn("date_parts", dates.date_parts(F.col("date_tokens")))
-    ordered = numbered.withColumn(
-        "date_order", dates.date_order(F.col("date_parts"), dates.is_day_first(F.col("created_cell")))
-    )
-    typed = ordered.withColumns(
+    dated = dates.add_date(parsed, "created_cell", "created_date")
+    typed = dated.withColumns(
         {
-            "created_date": dates.date_of(F.col("date_order")),
             "email": contact.email_or_null(F.col("address")),
             "email_valid": contact.email_is_valid(F.col("address")),
             "monthly_budget": numbers.budget(F.col("budget_text")),

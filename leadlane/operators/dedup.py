@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,58 +50,52 @@ def _preference(df: DataFrame, key: str, fields: Sequence[str]) -> Column:
     )
 
 
-def winners(
-    df: DataFrame,
-    key: str = "lead_id_canonical",
-    completeness_fields: Sequence[str] = rules.COMPLETENESS_FIELDS,
-) -> DataFrame:
-    """The winning struct of every key with more than one row, and the size of its group."""
+def best_per_key(df: DataFrame, key: str, completeness_fields: Sequence[str]) -> DataFrame:
+    """The winning struct and the number of rows of every key."""
     keyed = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
     best = keyed.select(F.col(key).alias("win_key"), _preference(df, key, completeness_fields).alias("pref"))
-    return (
-        best.groupBy("win_key")
-        .agg(F.min("pref").alias("winner"), F.count("*").alias("group_rows"))
-        .filter("group_rows > 1")
-    )
+    return best.groupBy("win_key").agg(F.min("pref").alias("winner"), F.count("*").alias("group_rows"))
 
 
-def dedupe(
-    df: DataFrame,
-    key: str = "lead_id_canonical",
-    completeness_fields: Sequence[str] = rules.COMPLETENESS_FIELDS,
-    eligible: Column | None = None,
-) -> DataFrame:
-    """Add ``is_primary`` and ``duplicate_of`` (label of the kept record, null for kept rows).
-
-    Rows outside ``eligible`` and rows without a key are primaries of their own.
-    """
+def look_up_winners(df: DataFrame, won: DataFrame, usable_key: Column) -> DataFrame:
+    """Add ``is_primary`` and ``duplicate_of`` from the winners of the groups with more than one row."""
     keys = row_keys(df)
-    usable = F.nullif(F.col(key), F.lit(""))
-    usable = usable if eligible is None else F.when(eligible, usable)
-    won = winners(df if eligible is None else df.filter(eligible), key, completeness_fields)
-
     hot = (
         won.filter(F.col("group_rows") >= HOT_GROUP_ROWS)
         .orderBy(F.desc("group_rows"), "win_key")
         .limit(HOT_GROUPS)
         .select(F.col("win_key").alias("hot_key"), F.col("winner").alias("hot_winner"))
     )
-    rows = df.withColumn("look_up", usable)
+    rows = df.withColumn("look_up", F.nullif(usable_key, F.lit("")))
     rows = rows.join(F.broadcast(hot), F.col("look_up") == F.col("hot_key"), "left")
     own_key = F.concat_ws(" ", F.lit("row"), *keys)
-    rows = rows.withColumn(
-        "join_key", F.when(F.col("look_up").isNull() | F.col("hot_key").isNotNull(), own_key).otherwise(F.col("look_up"))
-    )
+    spread = F.col("look_up").isNull() | F.col("hot_key").isNotNull()
+    rows = rows.withColumn("join_key", F.when(spread, own_key).otherwise(F.col("look_up")))
     rows = rows.join(won.select("win_key", "winner"), F.col("join_key") == F.col("win_key"), "left")
 
     rows = rows.withColumn("won_by", F.coalesce("hot_winner", "winner"))
-    own = reduce(lambda x, y: x & y, [F.col(c) == F.col("won_by")[c] for c in keys])
+    own = reduce(and_, [F.col(c) == F.col("won_by")[c] for c in keys])
     rows = rows.withColumn("is_primary", F.col("won_by").isNull() | own)
     return rows.withColumn("duplicate_of", F.when(~F.col("is_primary"), F.col("won_by")["label"])).drop(
         "look_up", "hot_key", "hot_winner", "join_key", "win_key", "winner", "won_by"
     )
 
 
+def dedupe(
+    df: DataFrame,
+    key: str = "lead_id_canonical",
+    completeness_fields: Sequence[str] = rules.COMPLETENESS_FIELDS,
+    eligible: Column | None = None,
+) -> DataFrame:
+    """Add ``is_primary`` and ``duplicate_of`` (label of the kept record, null for kept rows).
+
+    Rows outside ``eligible`` and rows without a key are primaries of their own.
+    """
+    grouped = df if eligible is None else df.filter(eligible)
+    won = best_per_key(grouped, key, completeness_fields).filter("group_rows > 1")
+    return look_up_winners(df, won, F.col(key) if eligible is None else F.when(eligible, F.col(key)))
+
+
 def dedupe_by_window(
     df: DataFrame,
     key: str = "lead_id_canonical",

@@ -82,7 +82,9 @@ def threshold_sweep(parts: DataFrame, grid: Sequence[tuple[float, float]]) -> Da
     counted = cells.withColumn("bucket", bucket).groupBy("contact_now", "nurture")
     return counted.agg(
         *[
-            F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("leads"))), F.lit(0)).alias(b.lower().replace(" ", "_"))
+            F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("leads"))), F.lit(0)).alias(
+                b.lower().replace(" ", "_") + "_leads"
+            )
             for b in rules.BUCKETS
         ]
     )

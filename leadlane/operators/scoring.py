@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadlane import rules
 from leadlane.functions.text import any_keyword, capitalize, strip
 from leadlane.operators import notes as N
+from leadlane.operators.clean import as_unit
 
 VERDICT_COLUMNS = (
     "score", "raw_score", "recommendation", "hard_disqualify", "justification", "fit_score", "intent_score",
@@ -127,12 +128,13 @@ def score_parts(df: DataFrame) -> DataFrame:
     )
     labels = F.when(F.col("stage") == rules.SALES_READY, rules.STAGE_LABELS[rules.SALES_READY])
     labels = labels.when(F.col("stage") == rules.WARM, rules.STAGE_LABELS[rules.WARM])
-    return scored.withColumns(
+    complete = scored.withColumns(
         {
             "score": F.col("fit_score") + F.col("intent_score") + F.col("engagement_score"),
             "engagement_stage": labels.otherwise(rules.STAGE_LABELS[rules.COLD]),
         }
     ).drop("weights", "fit_raw", "intent_raw", "stage_raw")
+    return as_unit(complete)
 
 
 def _justification() -> Column:

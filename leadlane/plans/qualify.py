@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadlane import rules
 from leadlane.operators.clean import check_columns, clean_rows, row_keys
 from leadlane.operators.dedup import dedupe
-from leadlane.operators.explore import count_each
+from leadlane.operators.explore import count_each, filter_leads
 from leadlane.operators.ranking import rank_leads
 from leadlane.operators.scoring import add_verdict, score_parts
 from leadlane.sources.lead_csv import read_leads_csv, write_csv
@@ -59,6 +59,11 @@ class LeadRun:
         """The 19 output columns, best lead first."""
         return rank_leads(self.leads).select(*ranked_columns(self.verdicts))
 
+    def filtered(self, **filters) -> DataFrame:
+        """The ranked leads that pass the filters of ``explore.lead_filter``; only these are sorted."""
+        passing = filter_leads(self.leads, **filters)
+        return rank_leads(passing).select(*ranked_columns(passing))
+
     def excluded(self) -> DataFrame:
         """Rows left out and why: junk rows as they came, then duplicates with their cleaned texts."""
         out = self.verdicts.filter("reason IS NOT NULL")
