@@ -52,7 +52,7 @@ def as_unit(df: DataFrame) -> DataFrame:
 
 def with_junk_reason(df: DataFrame) -> DataFrame:
     """Cells of every input row with the junk ``reason``, null for leads."""
-    return as_unit(to_cells(df).withColumn("reason", junk_reason()))
+    return to_cells(df).withColumn("reason", junk_reason())
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
@@ -102,5 +102,4 @@ def clean_rows(df: DataFrame) -> DataFrame:
 
 def clean_records(df: DataFrame) -> DataFrame:
     """Clean fields of the rows that are leads."""
-    cleaned = clean_rows(df)
-    return cleaned.filter("reason IS NULL").drop("reason", "raw_id", "raw_notes")
+    return as_unit(clean_rows(df)).filter("reason IS NULL").drop("reason", "raw_id", "raw_notes")

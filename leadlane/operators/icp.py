@@ -19,7 +19,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def strongest_cohort(leads: DataFrame) -> DataFrame:
     """Leads whose notes hold both a budget commitment and an urgency phrase."""
-    hits = N.add_hits(leads.withColumn("note_text", N.note_text(F.col("notes"))))
+    hits = N.add_hits(leads.withColumn("note_text", N.clean_note_text(F.col("notes"))))
     strong = ~N.is_hard() & N.any_hit(rules.COHORT_COMMITMENT_TAGS) & N.hit(rules.COHORT_URGENCY_TAG)
     return hits.filter(strong).drop(*N.HIT_COLUMNS)
 

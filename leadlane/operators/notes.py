@@ -21,9 +21,14 @@ def hit(name: str) -> Column:
     return F.col(f"hit_{name}")
 
 
+def clean_note_text(notes: Column) -> Column:
+    """Text the patterns are matched against, from notes that are clean; empty when there are none."""
+    return F.coalesce(fold_case(notes), F.lit(""))
+
+
 def note_text(notes: Column) -> Column:
-    """Text the patterns are matched against; empty when there are no notes."""
-    return F.coalesce(fold_case(clean_text(notes)), F.lit(""))
+    """The same from notes as they come."""
+    return clean_note_text(clean_text(notes))
 
 
 def add_hits(df: DataFrame, text: str = "note_text") -> DataFrame:
@@ -76,9 +81,10 @@ def is_adjacent() -> Column:
     return hit("not_agency") | (~hit("agency") & hit("adjacent"))
 
 
-def classify_notes(df: DataFrame, notes: str = "notes") -> DataFrame:
+def classify_notes(df: DataFrame, notes: str = "notes", notes_are_clean: bool = False) -> DataFrame:
     """Add the note signals of every row; a hard disqualifier leaves the others empty."""
-    hits = add_hits(df.withColumn("note_text", note_text(F.col(notes)))).withColumn("hard_disqualify", is_hard())
+    text = clean_note_text(F.col(notes)) if notes_are_clean else note_text(F.col(notes))
+    hits = add_hits(df.withColumn("note_text", text)).withColumn("hard_disqualify", is_hard())
     open_ = ~F.col("hard_disqualify")
     none = F.array().cast("array<string>")
     signals = hits.withColumns(

@@ -72,12 +72,14 @@ def recommend(
     )
 
 
-def score_parts(df: DataFrame) -> DataFrame:
+def score_parts(df: DataFrame, notes_are_clean: bool = True) -> DataFrame:
     """Add everything the verdict needs that does not depend on the thresholds.
 
-    Expects clean ``notes``, ``title``, ``employees``, ``monthly_budget``, ``name``, ``email`` and ``company``.
+    Expects clean ``notes``, ``title``, ``employees``, ``monthly_budget``, ``name``, ``email`` and ``company``;
+    notes that are not yet clean are cleaned if the flag says so.
     """
-    texts = df.withColumns({"note_text": N.note_text(F.col("notes")), "title_tier": title_tier(F.col("title"))})
+    text = N.clean_note_text(F.col("notes")) if notes_are_clean else N.note_text(F.col("notes"))
+    texts = df.withColumns({"note_text": text, "title_tier": title_tier(F.col("title"))})
     hits = N.add_hits(texts)
     reachable = F.col("name").isNotNull() | F.col("email").isNotNull() | F.col("company").isNotNull()
     signals = hits.withColumns(
@@ -182,4 +184,4 @@ def qualify_leads(
     nurture: float = rules.NURTURE_THRESHOLD,
 ) -> DataFrame:
     """Whole verdict for a DataFrame of clean leads."""
-    return add_verdict(score_parts(df), contact_now, nurture).drop(*SCORING_HELPERS)
+    return add_verdict(score_parts(df, notes_are_clean=False), contact_now, nurture).drop(*SCORING_HELPERS)

@@ -44,7 +44,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.classify_notes(clean.clean_records(order_leads(spark, sf_dir)))
+    return notes.classify_notes(clean.clean_records(order_leads(spark, sf_dir)), notes_are_clean=True)
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
