@@ -26,6 +26,7 @@ def _reader(spark: SparkSession, multiline: bool, encoding: str):
         .option("escape", '"')
         .option("multiLine", multiline)
         .option("encoding", encoding)
+        .option("columnNameOfCorruptRecord", "odd_record")
     )
 
 
@@ -71,7 +72,11 @@ def read_leads_csv(
     header = read_header(spark, path, multiline, encoding)
 
     cells = [f"cell_{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "overflow"]])
+    # Split files are read by lines, without the empty ones. Whole files give a record for a line of spaces too,
+    # which can be told from a row of empty cells only by its text; Spark keeps that of records of other lengths.
+    odd = ["odd_record"] if multiline else []
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "overflow", *odd]])
+    is_record = F.coalesce(F.btrim("odd_record", F.lit(" \t\r\n")) != "", F.lit(True)) if odd else F.lit(True)
     is_header = [F.coalesce(strip(F.ltrim(F.col(c), F.lit(BOM))), F.lit("")) == n for c, n in zip(cells, header)]
     # A lead column found twice is read from its first place; other columns are not needed.
     wanted = [F.col(cells[header.index(c)]).alias(c) for c in rules.COLUMNS]
@@ -79,6 +84,7 @@ def read_leads_csv(
         _reader(spark, multiline, encoding)
         .schema(schema)
         .csv(path)
+        .filter(is_record)
         .select(
             *wanted,
             F.col("_metadata.file_path").alias("source_file"),
