@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,15 @@ def to_cells(df: DataFrame) -> DataFrame:
     return stripped.select(*beside, *[blank_to_null(F.col(c)).alias(c) for c in rules.COLUMNS])
 
 
-def as_unit(df: DataFrame) -> DataFrame:
-    """The same rows, behind a generator that filters are not moved through.
+def as_unit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The same rows, with some columns (or all) behind a generator that filters are not moved through.
 
-    Without it, a filter on a parsed column is rewritten in terms of the raw texts, and everything between
-    the two is computed a second time, for the filter alone.
+    Without it, a filter on a derived column is rewritten in terms of the raw texts, and everything between
+    the two is computed a second time, for the filter alone. Other columns can still be pruned and filtered.
     """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    unit = list(columns or df.columns)
+    beside = [c for c in df.columns if c not in unit]
+    return df.select(*beside, F.inline(F.array(F.struct(*unit)))).select(*df.columns)
 
 
 def with_junk_reason(df: DataFrame) -> DataFrame:
@@ -58,15 +62,14 @@ def with_junk_reason(df: DataFrame) -> DataFrame:
 def clean_rows(df: DataFrame) -> DataFrame:
     """Every input row with its clean fields and its junk ``reason`` (null for leads).
 
-    The steps are separate projections so that each parsed text is computed once.
+    Junk rows keep their raw id and notes, which the audit shows. The steps are separate projections so that each parsed text is computed once.
     """
     keys = row_keys(df)
     cells = with_junk_reason(df)
     parsed = cells.select(
         *keys,
         "reason",
-        "raw_id",
-        "raw_notes",
+        *[F.when(F.col("reason").isNotNull(), F.col(c)).alias(c) for c in ("raw_id", "raw_notes")],
         F.col("raw_created").alias("created_raw"),
         F.col("lead_id").alias("lead_id_raw"),
         contact.canonical_id(F.col("lead_id")).alias("lead_id_canonical"),
@@ -102,4 +105,4 @@ def clean_rows(df: DataFrame) -> DataFrame:
 
 def clean_records(df: DataFrame) -> DataFrame:
     """Clean fields of the rows that are leads."""
-    return as_unit(clean_rows(df)).filter("reason IS NULL").drop("reason", "raw_id", "raw_notes")
+    return as_unit(clean_rows(df), ["reason"]).filter("reason IS NULL").drop("reason", "raw_id", "raw_notes")

@@ -15,6 +15,12 @@ VERDICT_COLUMNS = (
     "engagement_score", "engagement_stage", "title_tier", "is_agency_icp", "is_adjacent_icp", "notes_too_vague",
 )
 
+# What the verdict is derived from. Filters on these stop at the finished scores.
+SCORE_COLUMNS = (
+    "score", "raw_score", "hard_disqualify", "fit_score", "intent_score", "engagement_score", "engagement_stage",
+    "title_tier", "is_agency_icp", "is_adjacent_icp", "notes_too_vague", "no_contact", "hard_notes",
+)
+
 
 def limit(value: Column, band: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(band), value))
@@ -136,7 +142,7 @@ def score_parts(df: DataFrame, notes_are_clean: bool = True) -> DataFrame:
             "engagement_stage": labels.otherwise(rules.STAGE_LABELS[rules.COLD]),
         }
     ).drop("weights", "fit_raw", "intent_raw", "stage_raw")
-    return as_unit(complete)
+    return as_unit(complete, SCORE_COLUMNS)
 
 
 def _justification() -> Column:

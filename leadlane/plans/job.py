@@ -9,18 +9,27 @@ import argparse
 import os
 import sys
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from leadlane import rules
 from leadlane.plans.qualify import run, summary_lines, write_outputs
-from leadlane.sources.staging import Workspace
+from leadlane.sources.staging import Workspace, path_bytes
 
 
 # The JVM compiles no method above this size; operators whose generated code is larger run one by one instead.
 SESSION_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+# Input bytes per shuffle partition. Adaptive execution merges partitions that turn out small.
+SHUFFLE_BYTES = 128 * 1024 * 1024
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Raise the number of shuffle partitions to what the input needs; never lower it."""
+    key = "spark.sql.shuffle.partitions"
+    spark.conf.set(key, max(int(spark.conf.get(key)), input_bytes // SHUFFLE_BYTES))
+
+
 def number_from_env(name: str, default: float) -> float:
     try:
         return float(os.environ.get(name) or default)
@@ -61,6 +70,10 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     args = parse_args(argv)
     spark = SparkSession.builder.appName("leadlane").config(map=SESSION_SETTINGS).getOrCreate()
+    input_bytes = path_bytes(spark, args.input_csv)
+    if input_bytes is None:
+        args.fail(f"Input not found: {args.input_csv}")
+    size_shuffles(spark, input_bytes)
     workspace = Workspace(spark)
     try:
         result = run(
@@ -77,10 +90,6 @@ def main(argv: list[str] | None = None) -> int:
             print(f"Excluded rows audit at:    {args.excluded_output}")
             print()
             print("\n".join(summary_lines(result)))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        args.fail(f"Input not found: {args.input_csv}")
     finally:
         workspace.clear()
     return 0

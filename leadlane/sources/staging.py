@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _local_dirs:
@@ -30,6 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop path and its file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_bytes(spark: SparkSession, path: str) -> int | None:
+    """Total size of a file, folder or glob; None if there is nothing."""
+    hadoop_path, files = _file_system(spark, path)
+    found = files.globStatus(hadoop_path)
+    return sum(files.getContentSummary(f.getPath()).getLength() for f in found) if found else None
+
+
 class Workspace:
     """A sub-folder of the shared folder for the intermediate tables of one run."""
 
@@ -48,8 +63,8 @@ class Workspace:
 
     def clear(self) -> None:
         """Delete the tables of this run; DataFrames that read them can no longer be used."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _file_system(self.spark, self.root)
+        files.delete(path, True)
 
 
 def workspace_of(df: DataFrame, workspace: Workspace | None) -> Workspace:
