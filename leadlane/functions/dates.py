@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlane.functions.build import built_once
 from leadlane.functions.text import SPACE, let, to_str
 
 # Names and shapes.
@@ -113,14 +114,27 @@ def date_of(order: Column) -> Column:
     return F.when(possible, F.try_make_timestamp(year, order["m"], order["d"], zero, zero, zero).cast("date"))
 
 
+@built_once
+def _steps(cell: str) -> dict[str, Column]:
+    return {
+        "date_text": date_text(F.col(cell)),
+        "date_tokens": date_tokens(F.col("date_text")),
+        "date_parts": date_parts(F.col("date_tokens")),
+        "date_order": date_order(F.col("date_parts"), is_day_first(F.col(cell))),
+    }
+
+
 def add_date(df: DataFrame, cell: str, name: str) -> DataFrame:
     """Add the date of a cell column, one step per projection."""
-    steps = df.withColumn("date_text", date_text(F.col(cell)))
-    steps = steps.withColumn("date_tokens", date_tokens(F.col("date_text")))
-    steps = steps.withColumn("date_parts", date_parts(F.col("date_tokens")))
-    steps = steps.withColumn("date_order", date_order(F.col("date_parts"), is_day_first(F.col(cell))))
-    steps = steps.withColumn(name, date_of(F.col("date_order")))
-    return steps.drop("date_text", "date_tokens", "date_parts", "date_order")
+    steps = _steps(cell)
+    for step, column in steps.items():
+        df = df.withColumn(step, column)
+    return df.withColumn(name, _date_of_order()).drop(*steps)
+
+
+@built_once
+def _date_of_order() -> Column:
+    return date_of(F.col("date_order"))
 
 
 def parse_date(raw: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlane import rules
 from leadlane.functions import contact, dates, numbers
+from leadlane.functions.build import built_once
 from leadlane.functions.text import blank_to_null, squeeze, strip
 from leadlane.operators.junk import junk_reason
 
@@ -32,15 +33,23 @@ def row_keys(df: DataFrame) -> list[str]:
     return [c for c in ("source_file", "source_row") if c in df.columns]
 
 
+@built_once
+def _stripped() -> list[Column]:
+    raw = {c: F.col(c).cast("string") for c in rules.COLUMNS}
+    kept = [raw["lead_id"].alias("raw_id"), raw["created"].alias("raw_created"), raw["notes"].alias("raw_notes")]
+    return kept + [strip(raw[c]).alias(c) for c in rules.COLUMNS]
+
+
+@built_once
+def _cells() -> list[Column]:
+    return [blank_to_null(F.col(c)).alias(c) for c in rules.COLUMNS]
+
+
 def to_cells(df: DataFrame) -> DataFrame:
     """Turn the eleven raw columns into cells; the raw id, date and notes stay beside them."""
     check_columns(df)
     keys = row_keys(df)
-    raw = {c: F.col(c).cast("string") for c in rules.COLUMNS}
-    kept = [raw["lead_id"].alias("raw_id"), raw["created"].alias("raw_created"), raw["notes"].alias("raw_notes")]
-    stripped = df.select(*keys, *kept, *[strip(raw[c]).alias(c) for c in rules.COLUMNS])
-    beside = [*keys, "raw_id", "raw_created", "raw_notes"]
-    return stripped.select(*beside, *[blank_to_null(F.col(c)).alias(c) for c in rules.COLUMNS])
+    return df.select(*keys, *_stripped()).select(*keys, "raw_id", "raw_created", "raw_notes", *_cells())
 
 
 def as_unit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -59,16 +68,9 @@ def with_junk_reason(df: DataFrame) -> DataFrame:
     return to_cells(df).withColumn("reason", junk_reason())
 
 
-def clean_rows(df: DataFrame) -> DataFrame:
-    """Every input row with its clean fields and its junk ``reason`` (null for leads).
-
-    Junk rows keep their raw id and notes, which the audit shows. The steps are separate projections so that each parsed text is computed once.
-    """
-    keys = row_keys(df)
-    cells = with_junk_reason(df)
-    parsed = cells.select(
-        *keys,
-        "reason",
+@built_once
+def _parsed() -> list[Column]:
+    return [
         *[F.when(F.col("reason").isNotNull(), F.col(c)).alias(c) for c in ("raw_id", "raw_notes")],
         F.col("raw_created").alias("created_raw"),
         F.col("lead_id").alias("lead_id_raw"),
@@ -84,23 +86,35 @@ def clean_rows(df: DataFrame) -> DataFrame:
         F.lower(squeeze(F.col("source"))).alias("source"),
         numbers.budget_text(F.col("monthly_budget")).alias("budget_text"),
         F.coalesce(squeeze(F.col("notes")), F.lit("")).alias("notes"),
-    )
-    dated = dates.add_date(parsed, "created_cell", "created_date")
-    typed = dated.withColumns(
-        {
-            "email": contact.email_or_null(F.col("address")),
-            "email_valid": contact.email_is_valid(F.col("address")),
-            "monthly_budget": numbers.budget(F.col("budget_text")),
-            "lead_id": F.when(F.col("lead_id_canonical").isNotNull(), F.col("lead_id_raw")).otherwise(
-                F.concat(F.lit("ROW-"), F.col("source_row"))
-            ),
-        }
-    )
-    created = F.coalesce(
-        F.date_format("created_date", "yyyy-MM-dd"), squeeze(F.col("created_cell")), F.lit("")
-    )
+    ]
+
+
+@built_once
+def _typed() -> dict[str, Column]:
+    return {
+        "email": contact.email_or_null(F.col("address")),
+        "email_valid": contact.email_is_valid(F.col("address")),
+        "monthly_budget": numbers.budget(F.col("budget_text")),
+        "lead_id": F.when(F.col("lead_id_canonical").isNotNull(), F.col("lead_id_raw")).otherwise(
+            F.concat(F.lit("ROW-"), F.col("source_row"))
+        ),
+        "created": F.coalesce(
+            F.date_format("created_date", "yyyy-MM-dd"), squeeze(F.col("created_cell")), F.lit("")
+        ),
+    }
+
+
+def clean_rows(df: DataFrame) -> DataFrame:
+    """Every input row with its clean fields and its junk ``reason`` (null for leads).
+
+    Junk rows keep their raw id and notes, which the audit shows. The steps are separate projections so that
+    each parsed text is computed once.
+    """
+    keys = row_keys(df)
+    parsed = with_junk_reason(df).select(*keys, "reason", *_parsed())
+    typed = dates.add_date(parsed, "created_cell", "created_date").withColumns(_typed())
     extra = [c for c in keys if c not in CLEAN_COLUMNS]
-    return typed.withColumn("created", created).select(*extra, *CLEAN_COLUMNS, "reason", "raw_id", "raw_notes")
+    return typed.select(*extra, *CLEAN_COLUMNS, "reason", "raw_id", "raw_notes")
 
 
 def clean_records(df: DataFrame) -> DataFrame:

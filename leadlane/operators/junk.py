@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlane import rules
+from leadlane.functions.build import built_once
 
 
 def _hits(conditions: list[Column]) -> Column:
@@ -44,6 +45,7 @@ def is_garbage_test_row() -> Column:
     return lead_id | marked | repeated
 
 
+@built_once
 def junk_reason() -> Column:
     """Reason code of a junk row, null for a lead. The first rule that applies wins."""
     return (

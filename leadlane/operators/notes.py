@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlane import rules
+from leadlane.functions.build import built_once
 from leadlane.functions.text import clean_text, fold_case, matches
 
 HARD = [reason for reason, _, _ in rules.HARD_DISQUALIFIERS]
@@ -31,8 +32,8 @@ def note_text(notes: Column) -> Column:
     return clean_note_text(clean_text(notes))
 
 
-def add_hits(df: DataFrame, text: str = "note_text") -> DataFrame:
-    """One boolean column per pattern. Later steps only combine these, so every pattern runs once per row."""
+@built_once
+def _hit_columns(text: str) -> list[Column]:
     patterns = {reason: pattern for reason, pattern, _ in rules.HARD_DISQUALIFIERS}
     patterns |= {tag: pattern for tag, _, _, pattern, _ in rules.INTENT_SIGNALS}
     patterns |= {
@@ -40,7 +41,12 @@ def add_hits(df: DataFrame, text: str = "note_text") -> DataFrame:
         "agency": rules.AGENCY_PATTERN,
         "adjacent": rules.ADJACENT_PATTERN,
     }
-    return df.select("*", *[matches(F.col(text), p).alias(f"hit_{n}") for n, p in patterns.items()])
+    return [matches(F.col(text), p).alias(f"hit_{n}") for n, p in patterns.items()]
+
+
+def add_hits(df: DataFrame, text: str = "note_text") -> DataFrame:
+    """One boolean column per pattern. Later steps only combine these, so every pattern runs once per row."""
+    return df.select("*", *_hit_columns(text))
 
 
 def any_hit(names: Sequence[str]) -> Column:
@@ -85,19 +91,21 @@ def classify_notes(df: DataFrame, notes: str = "notes", notes_are_clean: bool =
     """Add the note signals of every row; a hard disqualifier leaves the others empty."""
     text = clean_note_text(F.col(notes)) if notes_are_clean else note_text(F.col(notes))
     hits = add_hits(df.withColumn("note_text", text)).withColumn("hard_disqualify", is_hard())
+    return hits.withColumns(_signal_columns()).drop(*HIT_COLUMNS)
+
+
+@built_once
+def _signal_columns() -> dict[str, Column]:
     open_ = ~F.col("hard_disqualify")
     none = F.array().cast("array<string>")
-    signals = hits.withColumns(
-        {
-            "disqualify_reasons": names_hit(HARD, HARD),
-            "tags": F.when(open_, names_hit(TAGS, TAGS)).otherwise(none),
-            "stage": F.when(open_, stage_of_hits()).otherwise(rules.COLD),
-            "is_agency_icp": open_ & is_agency(),
-            "is_adjacent_icp": open_ & is_adjacent(),
-            "notes_too_vague": open_ & ~any_hit(TAGS),
-        }
-    )
-    return signals.drop(*HIT_COLUMNS)
+    return {
+        "disqualify_reasons": names_hit(HARD, HARD),
+        "tags": F.when(open_, names_hit(TAGS, TAGS)).otherwise(none),
+        "stage": F.when(open_, stage_of_hits()).otherwise(rules.COLD),
+        "is_agency_icp": open_ & is_agency(),
+        "is_adjacent_icp": open_ & is_adjacent(),
+        "notes_too_vague": open_ & ~any_hit(TAGS),
+    }
 
 
 def classify_engagement_stage(tags: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlane import rules
+from leadlane.functions.build import built_once
 from leadlane.functions.text import any_keyword, capitalize, strip
 from leadlane.operators import notes as N
 from leadlane.operators.clean import as_unit
@@ -78,6 +79,69 @@ def recommend(
     )
 
 
+@built_once
+def _signals() -> dict[str, Column]:
+    reachable = F.col("name").isNotNull() | F.col("email").isNotNull() | F.col("company").isNotNull()
+    return {
+        "no_contact": ~reachable,
+        "hard_notes": N.is_hard(),
+        "reason_text": F.concat_ws(
+            "; ", *[F.when(N.hit(r), F.lit(label)) for r, _, label in rules.HARD_DISQUALIFIERS]
+        ),
+        "signal_text": F.array_join(
+            F.slice(N.names_hit(N.TAGS, [label for *_, label in rules.INTENT_SIGNALS]), 1, 2), " and "
+        ),
+        "is_agency_icp": N.is_agency(),
+        "is_adjacent_icp": N.is_adjacent(),
+        "notes_too_vague": ~N.any_hit(N.TAGS),
+        "weights": N.weight_sum(),
+        "stage": N.stage_of_hits(),
+    }
+
+
+@built_once
+def _raw_points() -> dict[str, Column]:
+    """Points before the bands are applied."""
+    stage_points = F.when(F.col("stage") == rules.SALES_READY, rules.STAGE_POINTS[rules.SALES_READY])
+    stage_points = stage_points.when(F.col("stage") == rules.WARM, rules.STAGE_POINTS[rules.WARM])
+    return {
+        "hard_disqualify": F.col("no_contact") | F.col("hard_notes"),
+        "fit_raw": title_points(F.col("title_tier"))
+        + score_employees(F.col("employees"))
+        + score_icp(F.col("is_agency_icp"), F.col("is_adjacent_icp")),
+        "intent_raw": F.when(F.col("notes_too_vague"), rules.NO_SIGNAL_POINTS).otherwise(F.col("weights"))
+        + score_stated_budget_intent(F.col("monthly_budget")),
+        "stage_raw": stage_points.otherwise(rules.STAGE_POINTS[rules.COLD]),
+    }
+
+
+@built_once
+def _components() -> dict[str, Column]:
+    """The components within their bands; a hard disqualifier leaves nothing."""
+    open_ = ~F.col("hard_disqualify")
+    return {
+        "fit_score": F.when(open_, limit(F.col("fit_raw"), rules.FIT_BAND)).otherwise(0.0),
+        "intent_score": F.when(open_, limit(F.col("intent_raw"), rules.INTENT_BAND)).otherwise(0.0),
+        "engagement_score": F.when(open_, F.col("stage_raw")).otherwise(0.0),
+        "raw_score": F.when(open_, F.col("fit_raw") + F.col("intent_raw") + F.col("stage_raw")).otherwise(0.0),
+        "stage": F.when(open_, F.col("stage")).otherwise(rules.COLD),
+        "title_tier": F.when(open_, F.col("title_tier")).otherwise("unknown"),
+        "is_agency_icp": open_ & F.col("is_agency_icp"),
+        "is_adjacent_icp": open_ & F.col("is_adjacent_icp"),
+        "notes_too_vague": open_ & F.col("notes_too_vague"),
+    }
+
+
+@built_once
+def _totals() -> dict[str, Column]:
+    labels = F.when(F.col("stage") == rules.SALES_READY, rules.STAGE_LABELS[rules.SALES_READY])
+    labels = labels.when(F.col("stage") == rules.WARM, rules.STAGE_LABELS[rules.WARM])
+    return {
+        "score": F.col("fit_score") + F.col("intent_score") + F.col("engagement_score"),
+        "engagement_stage": labels.otherwise(rules.STAGE_LABELS[rules.COLD]),
+    }
+
+
 def score_parts(df: DataFrame, notes_are_clean: bool = True) -> DataFrame:
     """Add everything the verdict needs that does not depend on the thresholds.
 
@@ -86,65 +150,13 @@ def score_parts(df: DataFrame, notes_are_clean: bool = True) -> DataFrame:
     """
     text = N.clean_note_text(F.col("notes")) if notes_are_clean else N.note_text(F.col("notes"))
     texts = df.withColumns({"note_text": text, "title_tier": title_tier(F.col("title"))})
-    hits = N.add_hits(texts)
-    reachable = F.col("name").isNotNull() | F.col("email").isNotNull() | F.col("company").isNotNull()
-    signals = hits.withColumns(
-        {
-            "no_contact": ~reachable,
-            "hard_notes": N.is_hard(),
-            "reason_text": F.concat_ws(
-                "; ", *[F.when(N.hit(r), F.lit(label)) for r, _, label in rules.HARD_DISQUALIFIERS]
-            ),
-            "signal_text": F.array_join(
-                F.slice(N.names_hit(N.TAGS, [label for *_, label in rules.INTENT_SIGNALS]), 1, 2), " and "
-            ),
-            "is_agency_icp": N.is_agency(),
-            "is_adjacent_icp": N.is_adjacent(),
-            "notes_too_vague": ~N.any_hit(N.TAGS),
-            "weights": N.weight_sum(),
-            "stage": N.stage_of_hits(),
-        }
-    ).drop("note_text", *N.HIT_COLUMNS)
-
-    stage_points = F.when(F.col("stage") == rules.SALES_READY, rules.STAGE_POINTS[rules.SALES_READY])
-    stage_points = stage_points.when(F.col("stage") == rules.WARM, rules.STAGE_POINTS[rules.WARM])
-    raw = signals.withColumns(
-        {
-            "hard_disqualify": F.col("no_contact") | F.col("hard_notes"),
-            "fit_raw": title_points(F.col("title_tier"))
-            + score_employees(F.col("employees"))
-            + score_icp(F.col("is_agency_icp"), F.col("is_adjacent_icp")),
-            "intent_raw": F.when(F.col("notes_too_vague"), rules.NO_SIGNAL_POINTS).otherwise(F.col("weights"))
-            + score_stated_budget_intent(F.col("monthly_budget")),
-            "stage_raw": stage_points.otherwise(rules.STAGE_POINTS[rules.COLD]),
-        }
-    )
-
-    open_ = ~F.col("hard_disqualify")
-    scored = raw.withColumns(
-        {
-            "fit_score": F.when(open_, limit(F.col("fit_raw"), rules.FIT_BAND)).otherwise(0.0),
-            "intent_score": F.when(open_, limit(F.col("intent_raw"), rules.INTENT_BAND)).otherwise(0.0),
-            "engagement_score": F.when(open_, F.col("stage_raw")).otherwise(0.0),
-            "raw_score": F.when(open_, F.col("fit_raw") + F.col("intent_raw") + F.col("stage_raw")).otherwise(0.0),
-            "stage": F.when(open_, F.col("stage")).otherwise(rules.COLD),
-            "title_tier": F.when(open_, F.col("title_tier")).otherwise("unknown"),
-            "is_agency_icp": open_ & F.col("is_agency_icp"),
-            "is_adjacent_icp": open_ & F.col("is_adjacent_icp"),
-            "notes_too_vague": open_ & F.col("notes_too_vague"),
-        }
-    )
-    labels = F.when(F.col("stage") == rules.SALES_READY, rules.STAGE_LABELS[rules.SALES_READY])
-    labels = labels.when(F.col("stage") == rules.WARM, rules.STAGE_LABELS[rules.WARM])
-    complete = scored.withColumns(
-        {
-            "score": F.col("fit_score") + F.col("intent_score") + F.col("engagement_score"),
-            "engagement_stage": labels.otherwise(rules.STAGE_LABELS[rules.COLD]),
-        }
-    ).drop("weights", "fit_raw", "intent_raw", "stage_raw")
+    signals = N.add_hits(texts).withColumns(_signals()).drop("note_text", *N.HIT_COLUMNS)
+    components = signals.withColumns(_raw_points()).withColumns(_components())
+    complete = components.withColumns(_totals()).drop("weights", "fit_raw", "intent_raw", "stage_raw")
     return as_unit(complete, SCORE_COLUMNS)
 
 
+@built_once
 def _justification() -> Column:
     """The sentence that explains a verdict. Only its last words depend on the thresholds."""
     fit = (
