@@ -48,13 +48,18 @@ def email_domain(email: Column) -> Column:
     return F.when(email.contains("@"), F.nullif(F.substring_index(email, "@", -1), F.lit("")))
 
 
-def website(cell: Column) -> Column:
+def website_text(cell: Column) -> Column:
+    """Lower-case site without scheme, ``www.`` and final slashes; empty if nothing is left."""
     bare = F.regexp_replace(F.regexp_replace(cell, _SCHEME, ""), _WWW, "")
-    return F.nullif(strip(F.lower(F.rtrim(bare, F.lit("/")))), F.lit(""))
+    return strip(F.lower(F.rtrim(bare, F.lit("/"))))
+
+
+def empty_to_null(text: Column) -> Column:
+    return F.when(text != "", text)
 
 
 def clean_website(raw: Column) -> Column:
-    return website(to_str(raw))
+    return let(let(to_str(raw), website_text), empty_to_null)
 
 
 def website_tld(site: Column) -> Column:
@@ -62,9 +67,9 @@ def website_tld(site: Column) -> Column:
     return F.nullif(F.regexp_extract(site, _TLD, 1), F.lit(""))
 
 
-def canonical_id(cell: Column) -> Column:
-    """First run of two or more digits."""
-    return F.nullif(F.regexp_extract(cell, _ID_DIGITS, 1), F.lit(""))
+def id_digits(cell: Column) -> Column:
+    """First run of two or more digits, empty if there is none."""
+    return F.regexp_extract(cell, _ID_DIGITS, 1)
 
 
 def is_explicit_dup(cell: Column) -> Column:
@@ -76,7 +81,7 @@ def parse_lead_id(raw: Column) -> Column:
     return let(
         to_str(raw),
         lambda cell: let(
-            canonical_id(cell),
+            let(id_digits(cell), empty_to_null),
             lambda canonical: F.struct(
                 cell.alias("raw"),
                 canonical.alias("canonical"),

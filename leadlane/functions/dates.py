@@ -1,8 +1,8 @@
 """Date expression.
 
 A cell is reduced to three tokens (``date_text``, ``date_tokens``), these to numbers (``date_parts``), and the
-numbers are read as year, month and day (``date_order``, ``date_of``). A plan computes each step in a projection of its
-own. Texts with fewer than three parts have no date of their own and give null.
+numbers are read as year, month and day (``date_order``, ``date_of``). A plan computes the steps in projections
+of their own. Texts with fewer than three parts have no date of their own and give null.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ _TIME = (
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _NUMBER = r"\d{1,2}|\d{4}"
 _THREE_TOKENS = rf"^(?:{_NUMBER}|{_MONTH_NAME})/(?:{_NUMBER}|{_MONTH_NAME})/(?:{_NUMBER}|{_MONTH_NAME})$"
-_THREE_NUMBERS = rf"^(?:{_NUMBER})/(?:{_NUMBER})/(?:{_NUMBER})$"
 _PLAIN = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}$"
 _ORDINAL = r"(?<=\d)(?:st|nd|rd|th)\b"
 _BREAK = rf"(?:{SPACE}|[,./-])+(?:of{SPACE}+)?|(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)"
@@ -48,8 +47,8 @@ def date_text(cell: Column) -> Column:
 
 
 def date_tokens(text: Column) -> Column:
-    """Array of the three parts; null unless each is a number of usable length or a month name."""
-    return F.when(text.rlike(_THREE_NUMBERS) | text.rlike(_THREE_TOKENS), F.split(text, "/"))
+    """Array of the three parts; shorter unless each is a number of usable length or a month name."""
+    return F.split(F.regexp_extract(text, _THREE_TOKENS, 0), "/")
 
 
 def is_day_first(cell: Column) -> Column:
@@ -58,7 +57,7 @@ def is_day_first(cell: Column) -> Column:
 
 def date_parts(tokens: Column) -> Column:
     """Struct of the three tokens as numbers, with the position of a month name (0 for none)."""
-    part = [tokens[i] for i in range(3)]
+    part = [F.get(tokens, F.lit(i)) for i in range(3)]
 
     def is_name(token: Column) -> Column:
         return token >= "a"
@@ -71,7 +70,7 @@ def date_parts(tokens: Column) -> Column:
     lengths = [F.octet_length(token) == 4 for token in part]
     full_year = ((named != 1) & lengths[0]) | ((named != 2) & lengths[1]) | ((named != 3) & lengths[2])
     return F.when(
-        tokens.isNotNull(),
+        F.size(tokens) == 3,
         F.struct(
             *[number(token).alias(name) for token, name in zip(part, "abc")],
             named.alias("named"),
@@ -117,8 +116,7 @@ def date_of(order: Column) -> Column:
 @built_once
 def _steps(cell: str) -> dict[str, Column]:
     return {
-        "date_text": date_text(F.col(cell)),
-        "date_tokens": date_tokens(F.col("date_text")),
+        "date_tokens": date_tokens(date_text(F.col(cell))),
         "date_parts": date_parts(F.col("date_tokens")),
         "date_order": date_order(F.col("date_parts"), is_day_first(F.col(cell))),
     }
@@ -142,7 +140,7 @@ def parse_date(raw: Column) -> Column:
     return let(
         to_str(raw),
         lambda cell: let(
-            let(let(date_text(cell), date_tokens), date_parts),
+            let(date_tokens(date_text(cell)), date_parts),
             lambda parts: let(date_order(parts, is_day_first(cell)), date_of),
         ),
     )

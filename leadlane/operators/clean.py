@@ -74,14 +74,14 @@ def _parsed() -> list[Column]:
         *[F.when(F.col("reason").isNotNull(), F.col(c)).alias(c) for c in ("raw_id", "raw_notes")],
         F.col("raw_created").alias("created_raw"),
         F.col("lead_id").alias("lead_id_raw"),
-        contact.canonical_id(F.col("lead_id")).alias("lead_id_canonical"),
+        contact.id_digits(F.col("lead_id")).alias("id_digits"),
         contact.is_explicit_dup(F.col("lead_id")).alias("lead_id_is_explicit_dup"),
         F.col("created").alias("created_cell"),
         squeeze(F.col("name")).alias("name"),
         contact.email_text(F.col("email")).alias("address"),
         squeeze(F.col("company")).alias("company"),
         numbers.employees(F.col("employees")).alias("employees"),
-        contact.website(F.col("website")).alias("website"),
+        contact.website_text(F.col("website")).alias("site"),
         squeeze(F.col("title")).alias("title"),
         F.lower(squeeze(F.col("source"))).alias("source"),
         numbers.budget_text(F.col("monthly_budget")).alias("budget_text"),
@@ -95,15 +95,20 @@ def _typed() -> dict[str, Column]:
         "email": contact.email_or_null(F.col("address")),
         "email_valid": contact.email_is_valid(F.col("address")),
         "monthly_budget": numbers.budget(F.col("budget_text")),
-        "lead_id": F.when(F.col("lead_id_canonical").isNotNull(), F.col("lead_id_raw")).otherwise(
+        "website": contact.empty_to_null(F.col("site")),
+        "lead_id_canonical": contact.empty_to_null(F.col("id_digits")),
+        "lead_id": F.when(F.col("id_digits") != "", F.col("lead_id_raw")).otherwise(
             F.concat(F.lit("ROW-"), F.col("source_row"))
         ),
-        "created": F.coalesce(
-            F.date_format("created_date", "yyyy-MM-dd"), squeeze(F.col("created_cell")), F.lit("")
-        ),
     }
 
 
+@built_once
+def _created() -> Column:
+    """The date as shown: ISO, else the text as it came."""
+    return F.coalesce(F.date_format("created_date", "yyyy-MM-dd"), squeeze(F.col("created_cell")), F.lit(""))
+
+
 def clean_rows(df: DataFrame) -> DataFrame:
     """Every input row with its clean fields and its junk ``reason`` (null for leads).
 
@@ -114,7 +119,7 @@ def clean_rows(df: DataFrame) -> DataFrame:
     parsed = with_junk_reason(df).select(*keys, "reason", *_parsed())
     typed = dates.add_date(parsed, "created_cell", "created_date").withColumns(_typed())
     extra = [c for c in keys if c not in CLEAN_COLUMNS]
-    return typed.select(*extra, *CLEAN_COLUMNS, "reason", "raw_id", "raw_notes")
+    return typed.withColumn("created", _created()).select(*extra, *CLEAN_COLUMNS, "reason", "raw_id", "raw_notes")
 
 
 def clean_records(df: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def email_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_website(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).select("source_row", contact.website(F.col("website")).alias("website"))
+    site = _cells(spark, sf_dir).select("source_row", contact.website_text(F.col("website")).alias("site"))
+    return site.select("source_row", contact.empty_to_null(F.col("site")).alias("website"))
 
 
 def website_tld(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +90,13 @@ def parse_lead_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _cells(spark, sf_dir).select(
         "source_row",
         cell.alias("raw"),
-        contact.canonical_id(cell).alias("canonical"),
+        contact.id_digits(cell).alias("digits"),
         contact.is_explicit_dup(cell).alias("is_explicit_dup"),
     )
-    return parsed.withColumn("looks_valid", F.col("canonical").isNotNull())
+    canonical = contact.empty_to_null(F.col("digits"))
+    return parsed.select("source_row", "raw", canonical.alias("canonical"), "is_explicit_dup").withColumn(
+        "looks_valid", F.col("canonical").isNotNull()
+    )
 
 
 def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
