@@ -19,7 +19,10 @@ _MONTH_NAME = (
     "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
     "sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 )
-_WEEKDAY = r"^(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[,.]?" + SPACE + "+"
+_WEEKDAY = (
+    r"^(?:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)[,.]?"
+    + SPACE + "+"
+)
 _TIME = (
     rf"(?:{SPACE}+|t)\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?{SPACE}*(?:[ap]\.?m\.?)?{SPACE}*"
     r"(?:z|utc|gmt)?(?:[+-]\d{2}:?\d{2})?$"
