@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import packing, token_counts, token_files
+from leadlane.llm import packing, quality, token_counts, token_files
 from leadlane.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +26,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality)}
 SQL: dict[str, str] = {}
