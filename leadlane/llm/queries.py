@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import packing, quality, token_counts, token_files
+from leadlane.llm import langid, packing, quality, token_counts, token_files
 from leadlane.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,5 +30,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality)}
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    unseen = langid.held_out(F.col("doc_id"))
+    return langid.predict(docs, langid.fit(docs.filter(~unseen)), keep={"held_out": unseen})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality, op9_langid)}
 SQL: dict[str, str] = {}
