@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import langid, packing, quality, token_counts, token_files
+from leadlane.llm import decontaminate, langid, packing, quality, token_counts, token_files
 from leadlane.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,5 +36,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.filter(~unseen)), keep={"held_out": unseen})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality, op9_langid)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality, op9_langid, op10_decontaminate)}
 SQL: dict[str, str] = {}
