@@ -46,14 +46,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def fresh_name(df: DataFrame, name: str) -> str:
-    """A column name that the table does not have yet, in any case of letters."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of a text column, or a single longer row."""
     for batch in batches:

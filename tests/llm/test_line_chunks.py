@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+from leadlane.llm import line_chunks as c
+
+SCHEMA = "doc_id long, text string"
+
+
+def plain(docs):
+    """The expected texts by comparing all chunks in memory; rows of equal id and text are one document."""
+    distinct = sorted({d for d in docs}, key=lambda d: (d[0] is not None, d[0] or 0))
+    places = defaultdict(list)
+    for doc, text in distinct:
+        lines = (text or "").split("\n")
+        for n, (a, b, counts) in enumerate(c.chunk_edges(lines)):
+            if counts:
+                places["\n".join(lines[a:b])].append(((doc, text), n))
+    gone = {p for found in places.values() for p in found[1:]}
+    out = []
+    for doc, text in docs:
+        if text is not None:
+            lines = text.split("\n")
+            text = "\n".join(x for n, (a, b, _) in enumerate(c.chunk_edges(lines)) if ((doc, text), n) not in gone for x in lines[a:b])
+        out.append((doc, text))
+    return out
+
+
+def line(rng, n=None):
+    return " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(n or rng.randint(1, 9)))
+
+
+def test_agrees_with_a_plain_version(spark):
+    rng = random.Random(4)
+    passages = [[line(rng) for _ in range(rng.randint(2, 9))] for _ in range(5)] + [[line(rng, 60)]]
+    docs = [(0, None), (1, ""), (2, "\n\n"), (3, "one"), (4, "one"), (None, "\n".join(passages[0])), (None, "x")]
+    for i in range(5, 60):
+        lines = [line(rng) for _ in range(rng.randint(0, 6))]
+        if i % 2:
+            lines[2:2] = passages[rng.randrange(6)]
+        docs.append((i, "\n".join(lines)))
+    docs += [docs[-1], (60, docs[-1][1])]
+    table = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "doc_id AS k1", "1 AS chunks", "'z' AS emptied", "text AS `my.text`")
+    out = c.remove_repeated_chunks(table)
+    assert out.columns == ["doc_id", "text", "k1", "chunks", "my.text", "removed_chunks", "removed_lines", "emptied"]
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(plain(docs))
+    before = Counter(docs)
+    for r in rows:
+        if not r["removed_chunks"]:
+            assert before[r["doc_id"], r["text"]] and not r["removed_lines"] and not r["emptied"]
+    assert any(r["emptied"] for r in rows)
+
+
+def test_long_passages_stay_once(spark):
+    rng = random.Random(8)
+    passage = line(rng, 70)
+    docs = [(i, "\n".join([line(rng), passage, line(rng)])) for i in range(30)]
+    out = {r["doc_id"]: r["text"] for r in c.remove_repeated_chunks(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert [i for i, t in sorted(out.items()) if passage in t] == [0]
+
+
+def test_boundaries_do_not_shift():
+    rng = random.Random(9)
+    lines = [line(rng) for _ in range(300)]
+    ends = {b for _, b, _ in c.chunk_edges(lines)}
+    moved = {b - 3 for _, b, _ in c.chunk_edges(["new", "lines", "here", *lines])}
+    assert {e for e in ends if e > 5} == {e for e in moved if e > 5}
+
+
+def test_empty_table_and_very_long_text(spark):
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert c.remove_repeated_chunks(nothing).collect() == []
+    rng = random.Random(1)
+    long = "\n".join(line(rng) for _ in range(40_000))
+    out = c.remove_repeated_chunks(spark.createDataFrame([(1, long), (2, long)], SCHEMA)).collect()
+    texts = {r["doc_id"]: r["text"] for r in out}
+    assert len(texts[2]) < 0.3 * len(long) < len(texts[1])
