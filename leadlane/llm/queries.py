@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import decontaminate, langid, line_chunks, packing, quality, token_counts, token_files
+from leadlane.llm import decontaminate, langid, line_chunks, order_minhash, packing, quality, token_counts, token_files
 from leadlane.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_chunks.remove_repeated_chunks(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "removed_chunks", "removed_lines", "emptied")
@@ -45,5 +49,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality, op8_line_chunks, op9_langid, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
 SQL: dict[str, str] = {}
