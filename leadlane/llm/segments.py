@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,15 @@ from leadlane.llm.common import one_thread, tokenizer_path
 #: White space of Unicode, as a character class for RE2.
 _WHITE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A space at either end of the text, or beside other white space in front of it.
-IRREGULAR = rf"^ | $|{_WHITE} "
-_LETTERS_AND_STOPS = re.compile(r"([A-Za-z]+)([.,]+)")
+IRREGULAR = rf"^ | $|{_WHITE} |\x01"
+#: Put in front of a run of stops to mark that no space stood there; texts that hold it are encoded whole.
+_MARK = "\x01"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Segments a worker remembers; beyond that it starts anew.
-CACHE_SEGMENTS = 800_000
+CACHE_SEGMENTS = 600_000
+#: Segments given to the tokenizer at once.
+BATCH_SEGMENTS = 8_000
 #: Longer segments are encoded each time they come.
 CACHE_CHARS = 48
 #: Characters after which a text that has to be encoded whole is cut at the next safe place.
@@ -51,43 +55,23 @@ class SegmentEncoder:
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.flat = array("q"), array("q"), array("I")
 
-    def _add(self, key: str, ids) -> int:
-        self.starts.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.starts) - 1
+    def _add(self, ids: list[list[int]]) -> range:
+        """Keep ids; returns where."""
+        first = len(self.starts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+        self.lengths.frombytes(sizes.tobytes())
+        self.flat.extend(chain.from_iterable(ids))
+        return range(first, first + len(ids))
 
     def _places(self, keys: list[str]) -> np.ndarray:
         """Where the ids of each key are kept, after encoding those not met before."""
-        get, missing = self.place.get, {}
-        found = [get(k, -1) for k in keys]
-        for i, p in enumerate(found):
-            if p < 0:
-                missing.setdefault(keys[i], []).append(i)
-        if not missing:
-            return np.array(found, dtype=np.int64)
-        parts = {k: (k,) for k in missing}
-        if self.stops_apart:
-            for k in missing:
-                if m := _LETTERS_AND_STOPS.fullmatch(k, len(k) - len(k.lstrip(" "))):
-                    parts[k] = (k[: m.end(1)], m[2])
-        simple = list(dict.fromkeys(x for p in parts.values() for x in p if x not in self.place))
-        ids_of = dict(zip(simple, self.encode_many(simple)))
-        for x, ids in ids_of.items():
-            where = self._add(x, ids)
-            if len(x) <= CACHE_CHARS:
-                self.place[x] = where
-            ids_of[x] = where
-        for k, at in missing.items():
-            where = [self.place[x] if x in self.place else ids_of[x] for x in parts[k]]
-            if len(where) > 1:
-                joined = [i for w in where for i in self.flat[self.starts[w] : self.starts[w] + self.lengths[w]]]
-                where = [self._add(k, joined)]
-                if len(k) <= CACHE_CHARS:
-                    self.place[k] = where[0]
-            for i in at:
-                found[i] = where[0]
-        return np.array(found, dtype=np.int64)
+        place = self.place
+        missing = [k for k in dict.fromkeys(keys) if k not in place]
+        new = dict(zip(missing, self._add(self.encode_many(missing)))) if missing else {}
+        found = np.fromiter((place[k] if k in place else new[k] for k in keys), np.int64, len(keys))
+        place.update((k, at) for k, at in new.items() if len(k) <= CACHE_CHARS)
+        return found
 
     def _whole(self, text: str) -> list[int]:
         """Ids of one text, encoded in long pieces."""
@@ -106,7 +90,10 @@ class SegmentEncoder:
         irregular = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
         empty = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
         regular = ~irregular & ~empty
-        lists = pc.split_pattern(texts.filter(pa.array(regular)), " ")
+        plain = texts.filter(pa.array(regular))
+        if self.stops_apart:
+            plain = pc.replace_substring_regex(plain, "([A-Za-z])([.,]+)", rf"\1 {_MARK}\2")
+        lists = pc.split_pattern(plain, " ")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
         coded = lists.flatten().dictionary_encode()
         places = np.zeros(0, np.int64)
@@ -114,22 +101,22 @@ class SegmentEncoder:
             keys = coded.dictionary.to_pylist()
             codes = coded.indices.to_numpy()
             firsts = [keys[c] for c in codes[offsets[:-1]]]
-            both = self._places([self.lead + k for k in keys] + firsts)
+            both = self._places([k[1:] if k[:1] == _MARK else self.lead + k for k in keys] + firsts)
             places = both[: len(keys)][codes]
             places[offsets[:-1]] = both[len(keys) :]
-        whole = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(irregular)}
-        whole_places = {i: self._add("", ids) for i, ids in whole.items()}
+        odd = np.flatnonzero(irregular)
+        whole_places = self._add([self._whole(texts[int(i)].as_py()) for i in odd])
 
         of_text = np.zeros(len(texts), np.int64)
         of_text[regular] = np.diff(offsets)
         of_text[irregular] = 1
-        if whole_places:
+        if len(odd):
             ends = np.cumsum(of_text)
             every = np.empty(ends[-1], np.int64)
             mark = np.zeros(ends[-1], bool)
-            at = ends[list(whole_places)] - 1
+            at = ends[odd] - 1
             mark[at] = True
-            every[at] = list(whole_places.values())
+            every[at] = whole_places
             every[~mark] = places
             places = every
         counts = _view(self.lengths, np.int64)[places]
@@ -162,7 +149,9 @@ def encoder(name: str) -> SegmentEncoder:
     model = Tokenizer.from_file(path)
 
     def encode_many(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's results are large objects, so only some are alive at a time.
+        parts = (texts[i : i + BATCH_SEGMENTS] for i in range(0, len(texts), BATCH_SEGMENTS))
+        return [e.ids for part in parts for e in model.encode_batch_fast(part, add_special_tokens=False)]
 
     # Where white space is dropped, a leading space changes nothing and segments need none.
     lead = " " if encode_many([" "])[0] else ""
