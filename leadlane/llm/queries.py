@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import decontaminate, langid, line_chunks, order_minhash, packing, quality, token_counts, token_files
+from leadlane.llm import decontaminate, langid, line_chunks, order_minhash, packing, quality, token_counts, token_files, warc
 from leadlane.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
+    return records.filter("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(read_table(spark, sf_dir, "documents")))
 
@@ -49,5 +54,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_token_files, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
 SQL: dict[str, str] = {}
