@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import decontaminate, langid, line_chunks, order_minhash, packing, quality, token_counts, token_files, warc
+from leadlane.llm import decontaminate, langid, line_chunks, neural_lm, order_minhash, packing, quality, token_counts, token_files, warc
 from leadlane.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return neural_lm.LanguageModel(docs, neural_lm.held_out(F.col("doc_id"))).score()
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -54,5 +59,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op5_neural_lm, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
 SQL: dict[str, str] = {}
