@@ -256,13 +256,18 @@ class NearDuplicates:
             _align(self.similarity), "node long, leader long, edits long"
         )
 
-    def classes(self) -> DataFrame:
-        """``h1, h2, class_id`` of every node; the class id is the smallest document id in the class."""
+    def classes(self, with_root: bool = False) -> DataFrame:
+        """``h1, h2, class_id`` of every node; the class id is the smallest document id in the class.
+
+        ``with_root`` gives the class's smallest node, ``root``, instead.
+        """
         found = components(self.links.select(F.col("node").alias("a"), F.col("leader").alias("b")), self.workspace)
         rooted = self.nodes.join(found, "node", "left").select(
             "h1", "h2", "doc_id", F.coalesce("root", "node").alias("root")
         )
         rooted = self.workspace.stage(rooted, "rooted")
+        if with_root:
+            return rooted.drop("doc_id")
         smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
         smallest = self.workspace.stage(smallest, "class-ids")
         return self.workspace.stage(rooted.join(smallest, "root").select("h1", "h2", "class_id"), "classes")
@@ -283,3 +288,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     found = NearDuplicates(docs, id_col, text_col, similarity, workspace)
     return found.members.join(found.classes(), ["h1", "h2"]).select("doc_id", "class_id", F.col("n").alias("n_words"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, workspace: Workspace | None = None) -> DataFrame:
+    """One row of ``docs`` per class of near-duplicates, with all its columns: one with the smallest id."""
+    workspace = workspace or Workspace(docs.sparkSession)
+    found = NearDuplicates(docs, id_col, text_col, similarity, workspace)
+    members = found.members.select("doc_id", "h1", "h2").join(found.classes(with_root=True), ["h1", "h2"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("first")
+    kept = workspace.stage(members.groupBy("root").agg(first).select(*[F.col(f"first.{c}").alias(c) for c in ("doc_id", "h1", "h2")]), "kept")
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner)
+    own_id, own_text = (F.col(inner[docs.columns.index(c)]) for c in (id_col, text_col))
+    rows = rows.withColumn("words", word_hashes(own_text)).select(*inner, *node_key("words"))
+    kept = kept.toDF("kept_id", "k1", "k2")
+    out = rows.join(kept, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & own_id.eqNullSafe(F.col("kept_id")))
+    # Rows that repeat an id with the same words are rare, and only they need another pass.
+    if not found.members.groupBy("doc_id", "h1", "h2").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["k1", "k2"])
+    return out.select(*inner).toDF(*docs.columns)
