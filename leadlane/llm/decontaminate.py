@@ -121,6 +121,13 @@ class Windows:
                 found.append((k, begin + end - back[1], begin + end, edits))
         return found
 
+    def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, window, first byte, end, edits) of the matches in a batch of texts, searched as one."""
+        begins = np.cumsum([0, *(len(t) + len(_GAP) for t in texts)])
+        for k, a, b, edits in self.search(_GAP.join(texts)):
+            row = int(np.searchsorted(begins, a, "right")) - 1
+            yield row, k, int(a - begins[row]), int(b - begins[row]), edits
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
     """The normalised items, about ``block_bytes`` of text at a time."""
@@ -160,13 +167,9 @@ def find_passages(
             windows = Windows(items, window, errors)
             for part in slices(batches, "text", SLICE_BYTES):
                 texts = [normalise(t) for t in part.column("text").to_pylist()]
-                begins = np.cumsum([0, *(len(t) + len(_GAP) for t in texts)])
                 found: dict = {}
-                for k, a, b, edits in windows.search(_GAP.join(texts)):
-                    row = int(np.searchsorted(begins, a, "right")) - 1
-                    if b > begins[row] + len(texts[row]):
-                        continue
-                    found.setdefault((row, windows.item_of[k]), []).append((k, int(a - begins[row]), int(b - begins[row]), edits))
+                for row, k, a, b, edits in windows.matches(texts):
+                    found.setdefault((row, windows.item_of[k]), []).append((k, a, b, edits))
                 keys = sorted(found, key=lambda key: (key[0], str(key[1])))
                 matches = [found[key] for key in keys]
                 yield pa.RecordBatch.from_arrays(
@@ -191,3 +194,38 @@ def find_passages(
         part = rows.mapInArrow(searcher(items), schema)
         found = part if found is None else found.unionAll(part)
     return found
+
+
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    errors: float = ERRORS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no part of an item, with all their columns as they are.
+
+    The same search as in ``find_passages``, again without a shuffle: rows are let through batch by batch.
+    """
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner)
+    text_at = inner[docs.columns.index(text_col)]
+
+    def sieve(items: list):
+        def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(items, window, errors)
+            for part in slices(batches, text_at, SLICE_BYTES):
+                texts = [normalise(t) for t in part.column(text_at).to_pylist()]
+                clean = np.ones(len(texts), bool)
+                for row, *_ in windows.matches(texts):
+                    clean[row] = False
+                yield part.filter(pa.array(clean))
+
+        return let_through
+
+    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        rows = rows.mapInArrow(sieve(items), rows.schema)
+    return rows.toDF(*docs.columns)
