@@ -50,6 +50,13 @@ def _places(codes: np.ndarray) -> np.ndarray:
     return (codes * _MULTIPLIER) >> np.uint64(64 - _HASH_BITS)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each comes."""
+    keys = np.sort(keys)
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edges], np.diff(np.append(edges, len(keys)))
+
+
 @dataclass
 class Windows:
     """Windows of the items of one block and an index of their q-grams."""
@@ -97,13 +104,14 @@ class Windows:
         counts = self.first[entry + 1] - self.first[entry]
         total = np.cumsum(counts)
         posting = np.repeat(self.first[entry] - total + counts, counts) + np.arange(counts.sum())
-        window = self.of[posting]
-        diagonal = np.repeat(hit, counts) - self.at[posting] + self.window * 2
-        block = diagonal // self.band
-        # Every hit lies in two bands: the one that starts at its block, and the one before.
+        window, at = self.of[posting], self.at[posting]
+        block = (np.repeat(hit, counts) - at + self.window * 2) // self.band
+        # A q-gram of the window counts once per band, however often the text repeats it. Every hit lies in two
+        # bands: the one that starts at its block, and the one before.
         width = len(data) // self.band + 2 * self.window + 4
-        key = np.concatenate([window * width + block, window * width + block - 1])
-        key, n = np.unique(key, return_counts=True)
+        key = (window * width + block) * (2 * self.window) + at
+        key, _ = _distinct(np.concatenate([key, key - 2 * self.window]))
+        key, n = _distinct(key // (2 * self.window))
         window, block = key // width, key % width
         good = n >= self.bounds[window]
         return window[good], block[good] * self.band - self.window * 2
