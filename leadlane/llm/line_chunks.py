@@ -115,10 +115,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.select("k1", "k2", "doc_id", "text").mapInArrow(_chunk_hashes, f"{place}, hash binary"), "chunk-hashes"
     )
     often = workspace.stage(hashes.groupBy("hash").count().filter("count > 1").select("hash"), "repeated-hashes")
-    listed = hashes.join(often, "hash").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
+    # Joins are merges at every size: what they shuffle then grows with the input alone.
+    listed = hashes.join(often.hint("merge"), "hash").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
     listed = workspace.stage(listed, "repeated-by-document")
     texts = workspace.stage(
-        rows.join(listed, ["k1", "k2"])
+        rows.join(listed.hint("merge"), ["k1", "k2"])
         .select("k1", "k2", "doc_id", "text", "chunks")
         .mapInArrow(_chunk_texts, f"{place}, passage string"),
         "repeated-texts",
@@ -127,7 +128,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("doc_id", "k1", "k2", "chunk")).alias("first")
     firsts = workspace.stage(texts.groupBy("passage").agg(first), "first-places")
     later = ~F.struct("k1", "k2", "chunk").eqNullSafe(F.struct("first.k1", "first.k2", "first.chunk"))
-    found = texts.join(firsts, "passage").filter(later).select("k1", "k2", "chunk")
+    found = texts.join(firsts.hint("merge"), "passage").filter(later).select("k1", "k2", "chunk")
     return workspace.stage(found, "chunks-to-remove")
 
 
@@ -149,7 +150,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     inner = [f"c{i}" for i in range(len(names))]
     text_at = inner[names.index(text_col)]
     rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], *_keyed(docs, id_col, text_col))
-    joined = rows.join(listed, ["k1", "k2"], "left").drop("k1", "k2")
+    joined = rows.join(listed.hint("merge"), ["k1", "k2"], "left").drop("k1", "k2")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_at):
