@@ -4,10 +4,11 @@ Every text becomes the list of its lower-case words; equal lists are one node. A
 smallest of its five-word shingles under a random order, repeated shingles told apart by a running number, and keeps
 the order in which they stand in the text. Nodes with a sketch in common share a bucket. Within a bucket, a leader
 stands for the nodes that a lower bound of the edit distance lets pass; each such pair is aligned, and pairs whose
-similarity (1 - edits / longer length, in words) is high enough are links. Rows that a leader could not take, or whose
-alignment failed, go on to another leader until none is left, so no row is dropped. Buckets too large for one task
-get one leader for all their rows by a join, and the rows it cannot take are dealt out anew by pairs of sketches.
-Classes are the connected components of the links.
+similarity (1 - edits / longer length, in words) is high enough are links. Rows that a leader cannot take follow
+another one of the same bucket, and rows whose alignment failed meet again with their texts, so that the alignment
+itself picks their leaders; no row is dropped. Buckets too large for one task get one leader for all their rows by a
+join, and the rows it cannot take are dealt out anew by pairs of sketches. Classes are the connected components of
+the links.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ SKETCHES = 16
 PICKED = 2
 SIMILARITY = 0.8
 #: Bins of word counts from which the lower bound of the edit distance is taken.
-BINS = 64
+BINS = 256
 #: Nodes of a bucket that one task handles together.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 4000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -86,8 +87,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, keys = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             words = values[a:b]
-            counts = np.bincount((words >> np.uint64(58)).astype(np.int64), minlength=BINS)
-            bins.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+            counts = np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=BINS)
+            bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
             keys.append(sketch(words).view(np.int64) if len(words) else None)
         columns = {c: batch.column(c) for c in ("doc_id", "h1", "h2")}
         columns["n"] = pa.array(np.diff(offsets).astype(np.int64))
@@ -99,38 +100,54 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _may_match(n: np.ndarray, bins: np.ndarray, leader_n: np.ndarray, leader_bins: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the bag of words allows an edit distance within the budget; never False for a true link."""
     budget = np.floor((1 - similarity) * np.maximum(n, leader_n) + 1e-9)
-    gap = bins.astype(np.int32) - leader_bins.astype(np.int32)
-    more = np.where(gap > 0, gap, 0).sum(axis=1)
-    return (np.abs(n - leader_n) <= budget) & (np.maximum(more, more - gap.sum(axis=1)) <= budget)
+    gap = bins.astype(np.int16) - leader_bins.astype(np.int16)
+    more = np.where(gap > 0, gap, 0).sum(axis=1, dtype=np.int32)
+    return (np.abs(n - leader_n) <= budget) & (np.maximum(more, more - gap.sum(axis=1, dtype=np.int32)) <= budget)
 
 
 def _bins_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
 
 
-def _lead(similarity: float):
-    """Arrow function over rows sorted by bucket: pairs every row with the first leader that may match it."""
+def _distance(a: str, b: str, similarity: float) -> int | None:
+    """Edits between two texts of space-separated words if they are similar enough."""
+    x, y = a.split(" "), b.split(" ")
+    return distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9))
 
-    def of_group(key: int, nodes: np.ndarray, n: np.ndarray, bins: np.ndarray):
-        left = np.arange(len(nodes))
+
+def _lead(similarity: float, with_texts: bool):
+    """Arrow function over rows sorted by bucket: pairs every row with the first leader that takes it.
+
+    A leader takes the rows that may match it; ``with_texts`` those whose alignment shows that they do.
+    """
+
+    def of_group(table: pa.Table, a: int, b: int):
+        rows = table.slice(a, b - a)
+        key, node, n = rows.column("key")[0].as_py(), rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        bins, left = _bins_of(rows.column("bins")), np.arange(b - a)
+        words = rows.column("words").to_pylist() if with_texts else None
         while len(left) > 1:
             first, left = left[0], left[1:]
-            ok = _may_match(n[left], bins[left], n[first], bins[first], similarity)
-            for k in left[ok].tolist():
-                yield key, int(nodes[k]), int(nodes[first])
-            left = left[~ok]
+            taken = _may_match(n[left], bins[left], n[first], bins[first], similarity)
+            for at in np.flatnonzero(taken).tolist():
+                k, edits = left[at], None
+                if words:
+                    edits = _distance(words[k], words[first], similarity)
+                    taken[at] = edits is not None
+                if taken[at]:
+                    yield key, int(node[k]), int(node[first]), edits
+            left = left[~taken]
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(rows).combine_chunks()
-            key, node, n = (table.column(c).to_numpy() for c in ("key", "node", "n"))
-            bins = _bins_of(table.column("bins"))
+            key = table.column("key").to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            found = [p for a, b in zip(edges, edges[1:]) for p in of_group(int(key[a]), node[a:b], n[a:b], bins[a:b])]
-            columns = list(zip(*found)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "leader"])
+            found = [p for a, b in zip(edges, edges[1:]) for p in of_group(table, a, b)]
+            columns = list(zip(*found)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "leader", "edits"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -165,10 +182,7 @@ def _align(similarity: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            edits = []
-            for a, b in zip(rows["words_a"], rows["words_b"]):
-                x, y = a.split(" "), b.split(" ")
-                edits.append(distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+            edits = [_distance(a, b, similarity) for a, b in zip(rows["words_a"], rows["words_b"])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("leader"), pa.array(edits, pa.int64())], ["node", "leader", "edits"]
             )
@@ -204,28 +218,34 @@ class NearDuplicates:
     def _find_links(self) -> DataFrame:
         stage = self.workspace.stage
         about = self.nodes.select("node", "n", "bins")
-        links = None
+        links = self.nodes.sparkSession.createDataFrame([], "node long, leader long, edits long")
         keys = self.nodes.select(F.explode("sketch").alias("key"), "node")
         while True:
-            active = stage(self._buckets(keys, "buckets").join(about, "node"), "active")
+            active = stage(self._buckets(keys, "buckets").join(about.hint("merge"), "node"), "active")
             if active.isEmpty():
-                break
-            small = active.filter(F.col("size") <= BUCKET_ROWS)
-            ordered = small.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
-            pairs = ordered.select("key", "node", "n", "bins").mapInArrow(
-                _lead(self.similarity), "key long, node long, leader long"
-            )
-            assigned = stage(pairs.withColumn("ok", F.lit(True)).unionAll(self._large(active, about)), "assigned")
-            checked = stage(self._verify(assigned.filter("ok").select("node", "leader").distinct()), "aligned")
-            passed = checked.filter("edits IS NOT NULL").select("node", "leader", "edits")
-            links = passed if links is None else links.unionAll(passed)
-            again = assigned.filter("ok").join(checked.filter("edits IS NULL"), ["node", "leader"], "left_semi").select("key", "node")
+                return links
+            pairs = self._leaders_of(active, with_texts=False).select("key", "node", "leader", F.lit(True).alias("ok"))
+            assigned = stage(pairs.unionAll(self._large(active, about)), "assigned")
+            texts, checked = self._verify(assigned.filter("ok").select("node", "leader").distinct())
+            links = links.unionAll(checked.filter("edits IS NOT NULL"))
+            # Rows whose leader failed meet again with their texts; all of them have been fetched.
+            failed = checked.filter("edits IS NULL").select("node", "leader")
+            again = assigned.filter("ok").join(failed.hint("merge"), ["node", "leader"], "left_semi").select("key", "node")
+            again = stage(self._buckets(again, "again").join(about.hint("merge"), "node").join(texts.hint("merge"), "node"), "again-texts")
+            links = links.unionAll(stage(self._leaders_of(again, with_texts=True).select("node", "leader", "edits"), "found-again"))
+            # What is left of large buckets: rows that one leader could not take, dealt out by pairs of sketches, and
+            # failed rows that are still too many, which try another leader.
             rest = assigned.filter("NOT ok").select("key", "node").join(self.nodes.select("node", "sketch"), "node")
             finer = rest.select("key", "node", F.explode("sketch").alias("other")).filter("key != other")
             finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node")
-            keys = again.unionAll(finer)
-        empty = self.nodes.sparkSession.createDataFrame([], "node long, leader long, edits long")
-        return empty if links is None else links
+            keys = again.filter(F.col("size") > BUCKET_ROWS).select("key", "node").unionAll(finer)
+
+    def _leaders_of(self, rows: DataFrame, with_texts: bool) -> DataFrame:
+        """``key, node, leader, edits`` within the buckets that fit one task."""
+        columns = ["key", "node", "n", "bins", *(["words"] if with_texts else [])]
+        small = rows.filter(F.col("size") <= BUCKET_ROWS).select(*columns)
+        ordered = small.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
+        return ordered.mapInArrow(_lead(self.similarity, with_texts), "key long, node long, leader long, edits long")
 
     def _large(self, active: DataFrame, about: DataFrame) -> DataFrame:
         """Rows of large buckets against one leader each, by a join that can split the bucket."""
@@ -240,21 +260,22 @@ class NearDuplicates:
             _join_leaders(self.similarity), "key long, node long, leader long, ok boolean"
         )
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """``node, leader, edits`` of every pair; edits are null beyond the budget."""
+    def _verify(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The texts of all nodes in ``pairs``, and ``node, leader, edits`` per pair; edits are null beyond the budget."""
         stage = self.workspace.stage
         pairs = stage(pairs, "pairs")
         wanted = pairs.select("node").unionAll(pairs.select(F.col("leader").alias("node"))).distinct()
         wanted = stage(wanted.join(self.nodes.select("node", "h1", "h2", "doc_id"), "node"), "wanted")
         theirs = (self.rows["h1"] == wanted["h1"]) & (self.rows["h2"] == wanted["h2"]) & self.rows["doc_id"].eqNullSafe(wanted["doc_id"])
-        texts = self.rows.join(wanted, theirs).select("node", F.concat_ws(" ", words_of(F.lower("text"))).alias("words"))
+        texts = self.rows.join(wanted.hint("merge"), theirs).select("node", F.concat_ws(" ", words_of(F.lower("text"))).alias("words"))
         # Repeated rows of one document are the only copies left here.
         texts = stage(texts.dropDuplicates(["node"]), "texts")
-        both = pairs.join(texts.withColumnRenamed("words", "words_a"), "node")
-        both = both.join(texts.select(F.col("node").alias("leader"), F.col("words").alias("words_b")), "leader")
-        return both.select("node", "leader", "words_a", "words_b").mapInArrow(
+        both = pairs.join(texts.withColumnRenamed("words", "words_a").hint("merge"), "node")
+        both = both.join(texts.select(F.col("node").alias("leader"), F.col("words").alias("words_b")).hint("merge"), "leader")
+        aligned = both.select("node", "leader", "words_a", "words_b").mapInArrow(
             _align(self.similarity), "node long, leader long, edits long"
         )
+        return texts, stage(aligned, "aligned")
 
     def classes(self, with_root: bool = False) -> DataFrame:
         """``h1, h2, class_id`` of every node; the class id is the smallest document id in the class.
