@@ -168,7 +168,9 @@ class TokenFiles:
                 source.close()
 
         kind = index.schema["doc_id"].dataType.simpleString()
-        ordered = index.repartition("path").sortWithinPartitions("path", "at")
+        # A given number of partitions is kept; otherwise the short index would be merged into a few tasks.
+        n_files = index.select("path").distinct().count()
+        ordered = index.repartition(max(n_files, 1), "path").sortWithinPartitions("path", "at")
         return ordered.select("doc_id", "start", "n_tokens", "path", "at", "width").mapInArrow(
             load, f"doc_id {kind}, start long, n_tokens long, ids binary"
         )

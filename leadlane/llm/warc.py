@@ -269,7 +269,9 @@ def read_archives(files: DataFrame, id_type: str = "long") -> DataFrame:
                 yield batch_of(rows)
 
     schema = "path string, `offset` long, `end` long, record_type string, page_id string, payload binary, payload_bytes long, payload_digest string, refers_to string"
-    records = files.select("path").repartition("path").mapInArrow(read, schema)
+    # A given number of partitions is kept; otherwise the short list would be merged into one task.
+    paths = files.select("path")
+    records = paths.repartition(max(paths.count(), 1), "path").mapInArrow(read, schema)
     return records.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
