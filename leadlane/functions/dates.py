@@ -23,10 +23,13 @@ _WEEKDAY = (
     r"^(?:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)[,.]?"
     + SPACE + "+"
 )
-_TIME = (
-    rf"(?:{SPACE}+|t)\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?{SPACE}*(?:[ap]\.?m\.?)?{SPACE}*"
-    r"(?:z|utc|gmt)?(?:[+-]\d{2}:?\d{2})?$"
-)
+# A possible time of day: 24 hours with minutes, or 12 hours with or without them; then perhaps a zone.
+_AM_PM = SPACE + r"*[ap]\.?m\b\.?"
+_SIXTY = r":[0-5]\d"
+_CLOCK = rf"(?:(?:0?\d|1[0-2])(?:{_SIXTY}(?:{_SIXTY}(?:[.,]\d+)?)?)?{_AM_PM}|(?:[01]?\d|2[0-3]){_SIXTY}(?:{_SIXTY}(?:[.,]\d+)?)?)"
+_ZONES = "z|utc|gmt|est|edt|cst|cdt|mst|mdt|pst|pdt|bst|cet|cest|eet|eest|wet|west|ist|jst|aest|aedt"
+_ZONE = rf"(?:{SPACE}*(?:{_ZONES})\b)?(?:{SPACE}*[+-]\d{{2}}:?\d{{2}})?"
+_TIME = rf"(?:(?:^|,|{SPACE})(?:{SPACE}*at{SPACE}+)?{SPACE}*|(?<=\d)t){_CLOCK}{_ZONE}(?={SPACE}|,|$)"
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _NUMBER = r"\d{1,2}|\d{4}"
 _THREE_TOKENS = rf"^(?:{_NUMBER}|{_MONTH_NAME})/(?:{_NUMBER}|{_MONTH_NAME})/(?:{_NUMBER}|{_MONTH_NAME})$"
@@ -43,7 +46,7 @@ CENTURY_WINDOW = 50
 
 def date_text(cell: Column) -> Column:
     """The parts of a date as ``a/b/c``, lower case, without weekday, time and ordinal endings."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(cell), _WEEKDAY, ""), _TIME, "")
+    text = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(cell), _WEEKDAY, ""), _TIME, ""))
     text = F.regexp_replace(text, _COMPACT, "$1/$2/$3")
     general = F.regexp_replace(F.regexp_replace(text, _ORDINAL, ""), _BREAK, "/")
     return F.when(cell.rlike(_PLAIN), F.translate(cell, "-", "/")).otherwise(general)

@@ -21,9 +21,9 @@ CLEAN_COLUMNS = (
 
 
 def check_columns(df: DataFrame) -> None:
-    missing = [c for c in rules.COLUMNS if c not in df.columns]
-    if missing:
-        raise ValueError(f"Input is missing expected column(s): {missing}. Found columns: {df.columns}")
+    absent = [c for c in rules.COLUMNS if c not in df.columns]
+    if absent:
+        raise ValueError(f"No column {', '.join(absent)} among {df.columns}")
 
 
 def row_keys(df: DataFrame) -> list[str]:
@@ -33,6 +33,11 @@ def row_keys(df: DataFrame) -> list[str]:
     return [c for c in ("source_file", "source_row") if c in df.columns]
 
 
+def origin_columns(df: DataFrame) -> list[str]:
+    """Columns that say where an input row came from, beside its number."""
+    return [c for c in ("source_file", "file_row") if c in df.columns]
+
+
 @built_once
 def _stripped() -> list[Column]:
     raw = {c: F.col(c).cast("string") for c in rules.COLUMNS}
@@ -48,7 +53,7 @@ def _cells() -> list[Column]:
 def to_cells(df: DataFrame) -> DataFrame:
     """Turn the eleven raw columns into cells; the raw id, date and notes stay beside them."""
     check_columns(df)
-    keys = row_keys(df)
+    keys = list(dict.fromkeys([*origin_columns(df), *row_keys(df)]))
     return df.select(*keys, *_stripped()).select(*keys, "raw_id", "raw_created", "raw_notes", *_cells())
 
 
@@ -116,9 +121,9 @@ def clean_rows(df: DataFrame) -> DataFrame:
     each parsed text is computed once.
     """
     keys = row_keys(df)
-    parsed = with_junk_reason(df).select(*keys, "reason", *_parsed())
+    extra = [c for c in dict.fromkeys([*keys, *origin_columns(df)]) if c not in CLEAN_COLUMNS]
+    parsed = with_junk_reason(df).select(*extra, "source_row", "reason", *_parsed())
     typed = dates.add_date(parsed, "created_cell", "created_date").withColumns(_typed())
-    extra = [c for c in keys if c not in CLEAN_COLUMNS]
     return typed.withColumn("created", _created()).select(*extra, *CLEAN_COLUMNS, "reason", "raw_id", "raw_notes")
 
 

@@ -206,7 +206,10 @@ def justification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = ranking.with_rank(_scored(spark, sf_dir))
+    # Scores are written before the range sort samples them; the sentence is written after it.
+    workspace = Workspace(spark)
+    parts = workspace.stage(_run(spark, sf_dir).parts, "scored")
+    leads = scoring.add_verdict(ranking.with_rank(parts, workspace))
     return leads.select("rank", *ranked_columns(leads))
 
 
@@ -215,8 +218,7 @@ def excluded_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = _scored(spark, sf_dir)
-    return ranking.top_leads(leads, TOP_N).select(*ranked_columns(leads))
+    return _run(spark, sf_dir).top(TOP_N)
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +289,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{workspace.root}/leads.csv"
     raw = order_leads(spark, sf_dir)
     write_csv(raw.orderBy("source_row").select(*rules.COLUMNS), path)
-    result = run(spark, path, multiline=False, workspace=workspace)
-    return result.ranked()
+    return run(spark, path, workspace=workspace).materialize().ranked()
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,8 +299,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_leads(spark, sf_dir).write.parquet(inbox)
     stream = LeadStream(spark, f"{workspace.root}/stream")
     stream.drain(inbox)
-    leads = stream.current().leads
-    return leads.select("source_row", "lead_id", "score", "recommendation")
+    return stream.current().leads.select("source_row", "lead_id", "score", "recommendation")
 
 
 QUERIES: dict[str, Query] = {

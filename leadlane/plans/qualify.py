@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlane import rules
-from leadlane.operators.clean import check_columns, clean_rows, row_keys
+from leadlane.operators.clean import check_columns, clean_rows, origin_columns, row_keys
 from leadlane.operators.dedup import dedupe
 from leadlane.operators.explore import count_each, filter_leads
-from leadlane.operators.ranking import rank_leads
+from leadlane.operators.ranking import rank_leads, top_leads
 from leadlane.operators.scoring import add_verdict, score_parts
 from leadlane.sources.lead_csv import read_leads_csv, write_csv
 from leadlane.sources.ordinals import number_rows
@@ -31,9 +31,14 @@ def dispositions(raw: DataFrame, workspace: Workspace | None = None) -> DataFram
     return resolved.withColumn("reason", F.coalesce("reason", F.when(~F.col("is_primary"), rules.DUPLICATE)))
 
 
+def lead_rows(decided: DataFrame) -> DataFrame:
+    """Clean fields of the decided rows that go on to scoring."""
+    return decided.filter("reason IS NULL").drop("reason", "is_primary", "duplicate_of", "raw_id", "raw_notes")
+
+
 def kept_leads(raw: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """Clean fields of the leads that go on to scoring."""
-    return dispositions(raw, workspace).filter("reason IS NULL").drop("reason", "is_primary", "duplicate_of", "raw_id", "raw_notes")
+    return lead_rows(dispositions(raw, workspace))
 
 
 def ranked_columns(verdicts: DataFrame) -> list:
@@ -45,19 +50,34 @@ def ranked_columns(verdicts: DataFrame) -> list:
 
 @dataclass
 class LeadRun:
-    """Result of one run. Every table is a lazy view on ``verdicts``."""
+    """Result of one run; every table is a lazy view.
+
+    ``decided`` has all input rows with their ``reason`` for exclusion, null for leads; ``parts`` has the leads with
+    their scores. What concerns excluded rows is read from ``decided`` alone, so they are never scored.
+    """
 
-    verdicts: DataFrame
+    decided: DataFrame
+    parts: DataFrame
     contact_now: float = rules.CONTACT_NOW_THRESHOLD
     nurture: float = rules.NURTURE_THRESHOLD
+    workspace: Workspace | None = None
 
     @property
     def leads(self) -> DataFrame:
-        return self.verdicts.filter("reason IS NULL")
+        return add_verdict(self.parts, self.contact_now, self.nurture)
+
+    def _worded(self, sorted_parts: DataFrame) -> DataFrame:
+        """Output columns of sorted leads; the sentence is written after the sort."""
+        worded = add_verdict(sorted_parts, self.contact_now, self.nurture)
+        return worded.select(*ranked_columns(worded))
 
     def ranked(self) -> DataFrame:
-        """The 19 output columns, best lead first."""
-        return rank_leads(self.leads).select(*ranked_columns(self.verdicts))
+        """The 19 output columns, best lead first. The sort samples its input, so scores are best materialised."""
+        return self._worded(rank_leads(self.parts))
+
+    def top(self, n: int) -> DataFrame:
+        """The first n of the ranked table; only they get a sentence."""
+        return self._worded(top_leads(self.parts, n))
 
     def filtered(self, **filters) -> DataFrame:
         """The ranked leads that pass the filters of ``explore.lead_filter``; only these are sorted."""
@@ -65,8 +85,11 @@ class LeadRun:
         return rank_leads(passing).select(*ranked_columns(passing))
 
     def excluded(self) -> DataFrame:
-        """Rows left out and why: junk rows as they came, then duplicates with their cleaned texts."""
-        out = self.verdicts.filter("reason IS NOT NULL")
+        """Rows left out and why: junk rows as they came, then duplicates with their cleaned texts.
+
+        With several input files, the file and the row's number in it come last.
+        """
+        out = self.decided.filter("reason IS NOT NULL")
         is_dup = F.col("reason") == rules.DUPLICATE
         detail = F.concat(F.lit("Duplicate of "), F.col("duplicate_of"))
         for code, text in rules.JUNK_DETAILS.items():
@@ -77,17 +100,20 @@ class LeadRun:
             "detail": detail,
         }
         ordered = out.orderBy(is_dup, *row_keys(out))
-        return ordered.select(*[shown.get(c, F.col(c)).alias(c) for c in rules.EXCLUDED_COLUMNS])
+        columns = [*rules.EXCLUDED_COLUMNS, *origin_columns(out)]
+        return ordered.select(*[shown.get(c, F.col(c)).alias(c) for c in columns])
 
     def stats(self) -> DataFrame:
         """One row: the four row counts and the number of leads per bucket."""
-        reason, bucket = F.col("reason"), F.col("recommendation")
-        counted = self.verdicts.agg(
-            F.count("*").alias("total_rows_read"),
+        rows = self.decided.select(F.coalesce("reason", F.lit("")).alias("reason"), F.lit(None).cast("string").alias("bucket"))
+        leads = self.leads.select(F.lit(None).cast("string"), F.col("recommendation"))
+        reason, bucket = F.col("reason"), F.col("bucket")
+        counted = rows.unionAll(leads).agg(
+            F.count("reason").alias("total_rows_read"),
             F.count_if(reason.isin(*rules.JUNK_DETAILS)).alias("junk_rows_dropped"),
             F.count_if(reason == rules.DUPLICATE).alias("duplicate_rows_dropped"),
-            F.count_if(reason.isNull()).alias("qualified_rows"),
-            *[F.count_if(reason.isNull() & (bucket == b)).alias(b) for b in rules.BUCKETS],
+            F.count_if(reason == "").alias("qualified_rows"),
+            *[F.count_if(bucket == b).alias(b) for b in rules.BUCKETS],
         )
         buckets = F.create_map(*[part for b in rules.BUCKETS for part in (F.lit(b), F.col(b))])
         return counted.withColumn("counts_by_recommendation", buckets).drop(*rules.BUCKETS)
@@ -96,28 +122,27 @@ class LeadRun:
         return count_each(self.leads, "recommendation", rules.BUCKETS, "leads")
 
     def excluded_counts(self) -> DataFrame:
-        return count_each(self.verdicts, "reason", rules.REASONS, "excluded_rows")
+        return count_each(self.decided, "reason", rules.REASONS, "excluded_rows")
 
     def with_thresholds(self, contact_now: float, nurture: float) -> LeadRun:
         """The same leads in other buckets; nothing but the bucket and the end of the sentence changes."""
-        return LeadRun(add_verdict(self.verdicts, contact_now, nurture), contact_now, nurture)
+        return replace(self, contact_now=contact_now, nurture=nurture)
 
-    def materialize(self, workspace: Workspace) -> LeadRun:
-        """Write the verdicts once, kept and excluded rows apart, so that each table reads only its part."""
-        apart = self.verdicts.withColumn("is_excluded", F.col("reason").isNotNull())
-        staged = workspace.stage(apart, "verdicts", partition_by="is_excluded")
-        return StagedRun(staged, self.contact_now, self.nurture)
+    def materialize(self, workspace: Workspace | None = None) -> LeadRun:
+        """Write the decided rows and the scored leads once; all tables then read what is written."""
+        workspace = workspace or self.workspace or Workspace(self.decided.sparkSession)
+        return replace(self, decided=workspace.stage(self.decided, "decided"), parts=workspace.stage(self.parts, "scored"))
 
+    def close(self) -> None:
+        """Delete the run's intermediate tables; its DataFrames can no longer be used."""
+        if self.workspace:
+            self.workspace.clear()
 
-class StagedRun(LeadRun):
-    """A run whose verdicts are written; tables select their partition by folder."""
+    def __enter__(self) -> LeadRun:
+        return self
 
-    @property
-    def leads(self) -> DataFrame:
-        return self.verdicts.filter("NOT is_excluded")
-
-    def excluded(self) -> DataFrame:
-        return LeadRun(self.verdicts.filter("is_excluded")).excluded()
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def qualify(
@@ -126,13 +151,17 @@ def qualify(
     nurture: float = rules.NURTURE_THRESHOLD,
     workspace: Workspace | None = None,
 ) -> LeadRun:
-    """Run on a DataFrame of raw leads; rows without ``source_row`` are numbered in reading order."""
+    """Run on a DataFrame of raw leads; rows without ``source_row`` are numbered in reading order.
+
+    The cleaned rows are written at once, as deduplication reads them twice. ``close`` the run, or use it in a
+    ``with`` statement, to delete them; what is left goes when the process ends.
+    """
     check_columns(raw)
     workspace = workspace_of(raw, workspace)
     if "source_row" not in raw.columns:
         raw = number_rows(raw, workspace)
-    scored = score_parts(dispositions(raw, workspace))
-    return LeadRun(add_verdict(scored, contact_now, nurture), contact_now, nurture)
+    decided = dispositions(raw, workspace)
+    return LeadRun(decided, score_parts(lead_rows(decided)), contact_now, nurture, workspace)
 
 
 def run(
@@ -141,10 +170,16 @@ def run(
     contact_now: float = rules.CONTACT_NOW_THRESHOLD,
     nurture: float = rules.NURTURE_THRESHOLD,
     multiline: bool | None = None,
+    encoding: str = "UTF-8",
     workspace: Workspace | None = None,
 ) -> LeadRun:
     """Run on CSV files or on a DataFrame."""
-    raw = source if isinstance(source, DataFrame) else read_leads_csv(spark, source, multiline, workspace=workspace)
+    workspace = workspace or Workspace(spark)
+    raw = source
+    if not isinstance(source, DataFrame):
+        raw = read_leads_csv(spark, source, multiline, encoding, workspace)
+        if raw.select("source_file").distinct().limit(2).count() < 2:
+            raw = raw.drop("source_file", "file_row")
     return qualify(raw, contact_now, nurture, workspace)
 
 
@@ -163,14 +198,9 @@ def write_outputs(result: LeadRun, output_path: str, excluded_path: str | None =
 
 
 def summary_lines(result: LeadRun) -> list[str]:
-    """The counts of a run as lines of text, buckets in fixed order."""
+    """The counts of a run as lines of text: a label from the fixed values and a number each."""
     stats = result.stats().first()
-    lines = [
-        f"Rows read:              {stats['total_rows_read']}",
-        f"Junk rows dropped:      {stats['junk_rows_dropped']}",
-        f"Duplicate rows dropped: {stats['duplicate_rows_dropped']}",
-        f"Leads scored & ranked:  {stats['qualified_rows']}",
-        "",
-        "Recommendation breakdown:",
-    ]
-    return lines + [f"  {b:<12} {stats['counts_by_recommendation'][b]}" for b in rules.BUCKETS]
+    totals = [(label, stats[name]) for name, label in rules.SUMMARY_LABELS.items()]
+    buckets = [(f"  {b}", stats["counts_by_recommendation"][b]) for b in rules.BUCKETS]
+    width = max(len(label) for label, _ in totals + buckets) + 2
+    return [f"{label:<{width}}{n:>12,}" for label, n in totals + buckets]

@@ -20,6 +20,14 @@ RANKED_COLUMNS = (
 
 EXCLUDED_COLUMNS = ("source_row", "lead_id", "reason", "detail", "notes")
 
+# Counts of a run, as printed.
+SUMMARY_LABELS = {
+    "total_rows_read": "Rows in",
+    "junk_rows_dropped": "Left out as junk",
+    "duplicate_rows_dropped": "Left out as duplicates",
+    "qualified_rows": "Leads ranked",
+}
+
 # Texts that mean "no answer" in any cell.
 BLANK_TOKENS = ("", "nan", "none", "null", "n/a", "na", "-", "?")
 

@@ -18,6 +18,11 @@ from leadlane.sources.staging import Workspace
 BOM = chr(0xFEFF)
 
 
+# Encodings in which a line break or a quote is not the same byte as in ASCII; their files cannot be split.
+WIDE_ENCODINGS = ("utf-16", "utf-16be", "utf-16le", "utf-32", "utf-32be", "utf-32le")
+_QUOTED = r'"(?:[^"]|"")*"'
+
+
 def _reader(spark: SparkSession, multiline: bool, encoding: str):
     """Reader for quotes doubled inside quotes, and every line, the header included, as a row of texts."""
     return (
@@ -30,11 +35,13 @@ def _reader(spark: SparkSession, multiline: bool, encoding: str):
     )
 
 
-def has_quoted_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
-    """True if some line holds an odd number of quotes, so that a record may go on in the next line."""
+def files_with_quoted_line_breaks(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files with a line that holds an odd number of quotes, so that a record may go on in the next line."""
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    odd = lines.filter(quotes % 2 == 1).select("source_file").distinct()
+    return [r["source_file"] for r in odd.collect()]  # no more than the files that the driver lists anyway
 
 
 def read_header(spark: SparkSession, path: str | list[str], multiline: bool, encoding: str = "UTF-8") -> list[str]:
@@ -47,40 +54,24 @@ def read_header(spark: SparkSession, path: str | list[str], multiline: bool, enc
         else:
             raise
     found = [(cell or "").lstrip(BOM).strip() for cell in first or ()]
-    missing = [c for c in rules.COLUMNS if c not in found]
-    if missing:
-        raise ValueError(f"Input CSV is missing expected column(s): {missing}. Found columns: {found}")
+    absent = [c for c in rules.COLUMNS if c not in found]
+    if absent:
+        raise ValueError(f"No column {', '.join(absent)} among {found}")
     return found
 
 
-def read_leads_csv(
-    spark: SparkSession,
-    path: str | list[str],
-    multiline: bool | None = None,
-    encoding: str = "UTF-8",
-    workspace: Workspace | None = None,
-) -> DataFrame:
-    """The eleven lead columns as texts, with ``source_file`` and the ``source_row`` within it.
-
-    The files are parsed once, into a staged table; the row numbers come from counts per file block.
-    ``multiline`` says whether quoted cells may contain line breaks. Such files cannot be split, so for very
-    large exports without them pass False; by default one look at the lines decides.
-    """
-    workspace = workspace or Workspace(spark)
-    if multiline is None:
-        multiline = has_quoted_line_breaks(spark, path)
-    header = read_header(spark, path, multiline, encoding)
-
+def _records(spark: SparkSession, path: str | list[str], header: list[str], multiline: bool, encoding: str) -> DataFrame:
+    """One row per record, blank lines left out, with the file, the block of the file and whether it is too long."""
     cells = [f"cell_{i}" for i in range(len(header))]
-    # Split files are read by lines, without the empty ones. Whole files give a record for a line of spaces too,
-    # which can be told from a row of empty cells only by its text; Spark keeps that of records of other lengths.
-    odd = ["odd_record"] if multiline else []
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "overflow", *odd]])
-    is_record = F.coalesce(F.btrim("odd_record", F.lit(" \t\r\n")) != "", F.lit(True)) if odd else F.lit(True)
+    # Spark keeps the text of a record whose number of cells is not that of the header, and of a blank line.
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "odd_record"]])
+    is_record = F.coalesce(F.btrim("odd_record", F.lit(" \t\r\n")) != "", F.lit(True))
     is_header = [F.coalesce(strip(F.ltrim(F.col(c), F.lit(BOM))), F.lit("")) == n for c, n in zip(cells, header)]
+    commas = F.regexp_replace("odd_record", _QUOTED, "")
+    n_cells = F.length(commas) - F.length(F.replace(commas, F.lit(","), F.lit(""))) + 1
     # A lead column found twice is read from its first place; other columns are not needed.
     wanted = [F.col(cells[header.index(c)]).alias(c) for c in rules.COLUMNS]
-    staged = workspace.stage(
+    return (
         _reader(spark, multiline, encoding)
         .schema(schema)
         .csv(path)
@@ -89,14 +80,44 @@ def read_leads_csv(
             *wanted,
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row_id"),
             reduce(and_, is_header).alias("is_header"),
-            F.col("overflow").isNotNull().alias("too_long"),
-        ),
-        "raw",
+            F.coalesce(n_cells > len(header), F.lit(False)).alias("too_long"),
+        )
+    )
+
+
+def read_leads_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    multiline: bool | None = None,
+    encoding: str = "UTF-8",
+    workspace: Workspace | None = None,
+) -> DataFrame:
+    """The eleven lead columns as texts, with ``source_row``, ``source_file`` and ``file_row``.
+
+    All files are numbered as one table in the order of their paths: ``source_row`` counts records below one header,
+    so it is unique, and ``file_row`` is the record's number within its file. The numbers come from counts per file
+    block. ``multiline`` says whether quoted cells may contain line breaks; files with such cells cannot be split.
+    By default a look at the quotes of every line decides file by file, which reads the input once more. A record
+    with more cells than the header is refused, also if the cells beyond are empty.
+    """
+    workspace = workspace or Workspace(spark)
+    if encoding.lower() in WIDE_ENCODINGS:
+        multiline = True
+    whole = files_with_quoted_line_breaks(spark, path) if multiline is None else []
+    header = read_header(spark, path, bool(multiline or whole), encoding)
+    if whole:
+        among = F.col("source_file").isin(whole)
+        records = _records(spark, path, header, False, encoding).filter(~among).unionAll(
+            _records(spark, path, header, True, encoding).filter(among)
+        )
+    else:
+        records = _records(spark, path, header, bool(multiline), encoding)
+    staged = workspace.stage(
+        records.withColumns({"file_key": F.xxhash64("source_file"), "row_id": F.monotonically_increasing_id()}), "raw"
     )
 
-    blocks = staged.groupBy("source_file", "block").agg(
+    blocks = staged.groupBy("source_file", "file_key", "block").agg(
         F.count("*").alias("block_rows"),
         F.min("row_id").alias("first_id"),
         F.min(F.when(F.col("is_header"), F.col("row_id"))).alias("header_id"),
@@ -104,13 +125,17 @@ def read_leads_csv(
     )
     blocks = workspace.stage(running_before(blocks, "block_rows", "block", ("source_file",)), "blocks")
     _check_blocks(blocks, header)
+    files = blocks.groupBy("source_file").agg((F.sum("block_rows") - 1).alias("file_rows"))
+    before = running_before(files, "file_rows", "source_file").select("source_file", F.col("rows_before").alias("files_before"))
+    places = blocks.join(before, "source_file").select("file_key", "block", "first_id", "rows_before", "files_before")
 
-    numbered = join_small(staged, blocks.select("source_file", "block", "first_id", "rows_before"), ["source_file", "block"])
+    numbered = join_small(staged, workspace.stage(places, "places"), ["file_key", "block"])
     record = F.col("rows_before") + F.col("row_id") - F.col("first_id") + 1
     return (
-        numbered.withColumn("source_row", record)
-        .filter("source_row > 1")
-        .select("source_file", "source_row", *rules.COLUMNS)
+        numbered.withColumn("file_row", record)
+        .filter("file_row > 1")
+        .withColumn("source_row", F.col("file_row") + F.col("files_before"))
+        .select("source_file", "file_row", "source_row", *rules.COLUMNS)
     )
 
 

@@ -14,12 +14,10 @@ ORDER_LEADS_SQL = Path(__file__).with_name("order_leads.sql").read_text(encoding
 def order_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw leads of ``orders.parquet``.
 
-    A table that arrives in fewer partitions than there are cores is spread over them by key, since each of
-    its narrow rows becomes a wide one with much work to do; a large table keeps its scan partitions.
+    Each narrow order becomes a wide row with much work to do, so the orders are dealt out by key first.
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    cores = spark.sparkContext.defaultParallelism
-    if orders.rdd.getNumPartitions() < cores:
-        orders = orders.repartition(cores, "o_orderkey")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = orders.repartition(tasks, "o_orderkey")
     leads = spark.sql(ORDER_LEADS_SQL.replace("FROM orders)", "FROM {orders})"), orders=orders)
     return as_unit(leads)

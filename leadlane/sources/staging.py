@@ -6,6 +6,8 @@ that a lost executor costs a re-read and not a recomputation with other position
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
-# Tables of at most this many short rows are broadcast; larger ones are joined without a hint.
-BROADCAST_ROWS = 1_000_000
+# Tables of at most this many rows of a few numbers each, some 40 bytes, are broadcast: 20 MB at most.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,11 @@ def path_bytes(spark: SparkSession, path: str) -> int | None:
     return sum(files.getContentSummary(f.getPath()).getLength() for f in found) if found else None
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop_path, files = _file_system(spark, path)
+    files.delete(hadoop_path, True)
+
+
 class Workspace:
     """A sub-folder of the shared folder for the intermediate tables of one run."""
 
@@ -52,6 +59,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/leadlane-{uuid.uuid4().hex}"
         self._tables = 0
+        atexit.register(self._clear_at_exit)
 
     def stage(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write a table and return it as a scan of what was written."""
@@ -61,10 +69,22 @@ class Workspace:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def clear(self) -> None:
         """Delete the tables of this run; DataFrames that read them can no longer be used."""
-        path, files = _file_system(self.spark, self.root)
-        files.delete(path, True)
+        delete_path(self.spark, self.root)
+        atexit.unregister(self._clear_at_exit)
+
+    def _clear_at_exit(self) -> None:
+        """Tables that nobody cleared go with the process, if its session still runs."""
+        with contextlib.suppress(Exception):
+            if not self.spark.sparkContext._jsc.sc().isStopped():
+                self.clear()
 
 
 def workspace_of(df: DataFrame, workspace: Workspace | None) -> Workspace:

@@ -8,6 +8,8 @@ before is touched. A batch that is retried after a failure replaces its own fold
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,31 +17,52 @@ from pyspark.sql import types as T
 from leadlane import rules
 from leadlane.operators.clean import clean_rows
 from leadlane.operators.dedup import best_per_key, look_up_winners
-from leadlane.operators.scoring import add_verdict, score_parts
+from leadlane.operators.scoring import score_parts
 from leadlane.plans.qualify import LeadRun
+from leadlane.sources.lead_csv import read_leads_csv
+from leadlane.sources.staging import Workspace, delete_path, path_bytes
 
 RAW_SCHEMA = T.StructType(
     [T.StructField("source_row", T.LongType())] + [T.StructField(c, T.StringType()) for c in rules.COLUMNS]
 )
 KEY = "lead_id_canonical"
+# Fixed by Spark's source for whole files.
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 class LeadStream:
-    """Rows and winners of a stream under one folder that all executors can reach."""
+    """Rows and winners of a stream under one folder that all executors can reach.
+
+    A row is known by its file and its number in it. A batch counts from the moment its marker is written, which
+    comes last, so readers never see rows without their winners.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.rows_path = f"{folder}/rows"
         self.winners_path = f"{folder}/winners"
+        self.published_path = f"{folder}/published"
         self.checkpoint_path = f"{folder}/checkpoint"
 
     def add_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Clean and score the rows of one micro-batch and write them with the winners among them."""
+        """Clean and score the rows of one micro-batch, write them with the winners among them, then publish both."""
+        marker = f"{self.published_path}/batch={batch_id}"
+        delete_path(self.spark, marker)
+        if "source_file" not in batch.columns:
+            batch = batch.withColumn("source_file", F.lit(""))
         folder = f"{self.rows_path}/batch={batch_id}"
         score_parts(clean_rows(batch)).write.mode("overwrite").parquet(folder)
         written = self.spark.read.parquet(folder)
         best = best_per_key(written.filter("reason IS NULL"), KEY, rules.COMPLETENESS_FIELDS)
         best.write.mode("overwrite").parquet(f"{self.winners_path}/batch={batch_id}")
+        self.spark.range(1).write.mode("overwrite").parquet(marker)
+
+    def add_exports(self, files: DataFrame, batch_id: int) -> None:
+        """One micro-batch of CSV exports, given by their paths."""
+        paths = [unquote(r["path"]) for r in files.select("path").collect()]  # as many as a trigger may bring
+        with Workspace(self.spark) as workspace:
+            raw = read_leads_csv(self.spark, paths, workspace=workspace)
+            self.add_batch(raw.drop("source_row").withColumnRenamed("file_row", "source_row"), batch_id)
 
     def writer(self, raw: DataFrame):
         """The stream writer of a streaming DataFrame of raw leads."""
@@ -47,15 +70,32 @@ class LeadStream:
 
     def read_inbox(self, inbox: str, files_per_batch: int) -> DataFrame:
         reader = self.spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-        return reader.parquet(inbox)
+        return reader.parquet(inbox).withColumn("source_file", F.col("_metadata.file_path"))
 
     def drain(self, inbox: str, files_per_batch: int = 4) -> None:
         """Process everything in a folder of Parquet files of raw leads that is not yet processed, then stop."""
         self.writer(self.read_inbox(inbox, files_per_batch)).trigger(availableNow=True).start().awaitTermination()
 
-    def winners(self) -> DataFrame:
-        """Winner and size of every group with more than one row, over all batches."""
-        merged = self.spark.read.parquet(self.winners_path).groupBy("win_key")
+    def drain_exports(self, inbox: str, files_per_batch: int = 4) -> None:
+        """The same for a folder of CSV exports, which only ever gets new files."""
+        # Contents are not selected, so this reads no more than the listing.
+        found = self.spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(inbox)
+        stream = found.select("path").writeStream.foreachBatch(self.add_exports)
+        stream.option("checkpointLocation", f"{self.checkpoint_path}-exports").trigger(availableNow=True).start().awaitTermination()
+
+    def published(self) -> list[int]:
+        """Numbers of the batches that count: a short row each."""
+        if path_bytes(self.spark, f"{self.published_path}/*") is None:
+            return []
+        return [r["batch"] for r in self.spark.read.parquet(self.published_path).select("batch").distinct().collect()]
+
+    def _of(self, path: str, batches: list[int]) -> DataFrame:
+        """What the published batches hold; other folders are not read."""
+        return self.spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in batches]).drop("batch")
+
+    def winners(self, batches: list[int]) -> DataFrame:
+        """Winner and size of every group with more than one row, over the batches."""
+        merged = self._of(self.winners_path, batches).groupBy("win_key")
         return merged.agg(F.min("winner").alias("winner"), F.sum("group_rows").alias("group_rows")).filter(
             "group_rows > 1"
         )
@@ -65,8 +105,17 @@ class LeadStream:
         contact_now: float = rules.CONTACT_NOW_THRESHOLD,
         nurture: float = rules.NURTURE_THRESHOLD,
     ) -> LeadRun:
-        """The run over all rows received so far, equal to one batch run over the same rows."""
-        rows = self.spark.read.parquet(self.rows_path).drop("batch")
-        resolved = look_up_winners(rows, self.winners(), F.when(F.col("reason").isNull(), F.col(KEY)))
+        """The run over all rows published so far, equal to one batch run over the same rows.
+
+        Before the first batch it is empty. ``ROW-n`` ids and ``source_row`` count within a file here.
+        """
+        batches = self.published()
+        if batches:
+            rows, won = self._of(self.rows_path, batches), self.winners(batches)
+        else:
+            none = self.spark.createDataFrame([], RAW_SCHEMA).withColumn("source_file", F.lit(""))
+            rows = score_parts(clean_rows(none))
+            won = best_per_key(rows, KEY, rules.COMPLETENESS_FIELDS)
+        resolved = look_up_winners(rows, won, F.when(F.col("reason").isNull(), F.col(KEY)))
         decided = resolved.withColumn("reason", F.coalesce("reason", F.when(~F.col("is_primary"), rules.DUPLICATE)))
-        return LeadRun(add_verdict(decided, contact_now, nurture), contact_now, nurture)
+        return LeadRun(decided, decided.filter("reason IS NULL"), contact_now, nurture)

@@ -116,6 +116,9 @@ def test_dates_agree_with_a_public_parser(evaluate):
         "{m:02d}/{d:02d}/{y}", "{m}/{d}/{s:02d}", "{y}-{m:02d}-{d:02d}", "{y}-{m}-{d}", "{d:02d}-{m:02d}-{y}",
         "{d}-{m}-{s:02d}", "{n} {d} {y}", "{n} {d}, {y}", "{d} {n} {y}", "{y}/{m}/{d}", "{d}.{m}.{y}", "{d}-{n}-{y}",
         "{y}-{m:02d}-{d:02d} 09:30", "{m}/{d}/{y} 3:05 PM", "{y}{m:02d}{d:02d}",
+        "{m}/{d}/{y}, 10:30 AM", "{m}/{d}/{y} 3 PM", "12:30 {m:02d}/{d:02d}/{y}", "{m:02d}/{d:02d}/{y} 10:00 EST",
+        "{n} {d} 10:00:00 {y}", "{n} {d}, {y} at 5:00 PM", "{m:02d}/{d:02d}/{y} 25:99", "{m:02d}/{d:02d}/{y} 13 PM",
+        "{y}-{m:02d}-{d:02d}T23:59:59Z", "{y}-{m:02d}-{d:02d}T08:00:00+02:00", "{m}/{d}/{y} 9:61", "{n} {d} {y} 11:15:30.25 pm",
     )
     names = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
     full = "January February March April May June July August September October November December".split()
