@@ -60,4 +60,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op5_neural_lm, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
-SQL: dict[str, str] = {}
+#: What SQL can say. Tokenizers, hashed models, alignment and packing it cannot; tests hold plain versions of those.
+SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        sized AS (
+            SELECT page_id, payload, octet_length(encode(payload)) AS n, min(page_id) OVER (PARTITION BY payload) AS first_id
+            FROM payloads
+        ),
+        judged AS (SELECT *, n >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM sized)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+            CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN again THEN first_id END AS refers_to
+        FROM judged
+    """,
+}

@@ -110,3 +110,15 @@ def test_damaged_files_are_logged(spark):
     logged = sorted((r["offset"], r["end"]) for r in warc.gaps(read).collect())
     total = sum(map(len, members))
     assert logged == [(begin, begin + len(members[2])), (total - len(members[5]), total)]
+
+
+def test_query_agrees_with_its_sql(spark):
+    import duckdb
+    from compare import differences
+
+    from leadlane.llm.queries import SQL, op2_warc
+
+    sf = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    assert differences(op2_warc(spark, sf), connection, SQL["op2_warc"]) == ""
