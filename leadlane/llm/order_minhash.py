@@ -58,7 +58,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
         begin = np.maximum.accumulate(np.where(same, 0, at))
         times = np.empty(n, np.uint64)
         times[order] = (at - begin).astype(np.uint64)
-        code = _mix(code + times * _ODD2)
+        # Only repeats change, so that a text with some still shares the rest with a text without.
+        code = np.where(times > 0, _mix(code + times * _ODD2), code)
     return code
 
 

@@ -124,3 +124,32 @@ def test_shingles_number_repeats():
     word = np.array([5, 5, 5, 5, 5, 5, 5], np.uint64)
     assert len(set(m.shingles(word).tolist())) == 3
     assert len(m.shingles(word[:2])) == 1
+    once = np.arange(1, 9, dtype=np.uint64)
+    again = np.concatenate([once, once[:6]])
+    assert set(m.shingles(once).tolist()) <= set(m.shingles(again).tolist()) and len(set(m.shingles(again).tolist())) == 10
+
+
+def test_no_link_of_the_small_table_is_missed(spark):
+    """All pairs of a thousand documents that a bag of words lets pass, aligned."""
+    from leadlane.llm.alignment import distance_within
+    from leadlane.llm.queries import op7_order_minhash
+
+    sf = "/root/testdata/sf0.01"
+    found = {r["doc_id"]: r["class_id"] for r in op7_order_minhash(spark, sf).collect()}
+    docs = {r["doc_id"]: (r["text"] or "").lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(docs)
+    bags = np.zeros((len(ids), 512), np.int16)
+    for i, d in enumerate(ids):
+        for w in docs[d]:
+            bags[i, hash(w) % 512] += 1
+    n = np.array([len(docs[d]) for d in ids])
+    links = missed = 0
+    for i, a in enumerate(ids):
+        gap = bags[i + 1 :] - bags[i]
+        more = np.where(gap > 0, gap, 0).sum(axis=1)
+        budget = np.floor(0.2 * np.maximum(n[i + 1 :], n[i]) + 1e-9)
+        for j in np.flatnonzero(np.maximum(more, more - gap.sum(axis=1)) <= budget):
+            b = ids[i + 1 + j]
+            if distance_within(docs[a], docs[b], int(budget[j])) is not None:
+                links, missed = links + 1, missed + (found[a] != found[b])
+    assert links > 150 and missed <= links // 100
