@@ -27,10 +27,10 @@ def check_columns(df: DataFrame) -> None:
 
 
 def row_keys(df: DataFrame) -> list[str]:
-    """Columns that identify an input row, in reading order."""
+    """Columns that identify an input row, in reading order: its number, and its file where numbers start anew."""
     if "source_row" not in df.columns:
         raise ValueError("Input has no source_row column; number the rows first (sources.ordinals.number_rows)")
-    return [c for c in ("source_file", "source_row") if c in df.columns]
+    return [c for c in ("source_row", "source_file") if c in df.columns]
 
 
 def origin_columns(df: DataFrame) -> list[str]:
