@@ -56,6 +56,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+            # Workers live on from stage to stage; what a slice needed goes back to the machine.
+            pa.default_memory_pool().release_unused()
 
 
 def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ _MARK = "\x01"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Segments a worker remembers; beyond that it starts anew.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 400_000
 #: Segments given to the tokenizer at once.
 BATCH_SEGMENTS = 8_000
 #: Longer segments are encoded each time they come.
