@@ -77,3 +77,76 @@ def test_empty_table_and_very_long_text(spark):
     out = c.remove_repeated_chunks(spark.createDataFrame([(1, long), (2, long)], SCHEMA)).collect()
     texts = {r["doc_id"]: r["text"] for r in out}
     assert len(texts[2]) < 0.3 * len(long) < len(texts[1])
+
+
+def test_repeated_runs_of_short_lines_go_whole(spark):
+    """Passages of 50 words or more, in 3 to 10 lines, between other lines of two documents."""
+    rng = random.Random(12)
+
+    def unique(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    docs, expected = [], {}
+    for lines, n in ((3, 18), (4, 14), (5, 11), (6, 10), (10, 10), (10, 5)):
+        for _ in range(20):
+            passage = [unique(n) for _ in range(lines)]
+            passage[1:1] = [""] * rng.randrange(3)
+            for copy in range(2):
+                before, after = ([unique(rng.randint(1, 20)) for _ in range(rng.randint(1, 6))] for _ in range(2))
+                docs.append((len(docs), "\n".join([*before, *passage, *after])))
+                expected[docs[-1][0]] = "\n".join([*before, *after]) if copy else docs[-1][1]
+    out = c.remove_repeated_chunks(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == expected
+    assert {(r["doc_id"] % 2, r["removed_chunks"]) for r in out} == {(0, 0), (1, 1)}
+
+
+def test_a_run_within_one_text_stays_at_its_first_place(spark):
+    again = "\n".join(["ten words that come again and again in one text"] * 12)
+    long = "\n".join(f"line {i} of {i * 7} with some words" for i in range(100))
+    docs = [(1, again), (2, f"{long}\nnew\n{long}"), (3, f"other\n{long}")]
+    out = {r["doc_id"]: r["text"] for r in c.remove_repeated_chunks(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert 0 < len(out[1].split()) < 70
+    assert out[2] == f"{long}\nnew" and out[3] == "other"
+
+
+def test_windows_hold_every_line_of_a_run():
+    rng = random.Random(13)
+    for _ in range(200):
+        lines = [line(rng, rng.randint(1, 30)) if rng.random() < 0.8 else "" for _ in range(rng.randint(1, 30))]
+        words = [len(x.split()) for x in lines]
+        held = {i for a, b in c.run_windows(lines) for i in range(a, b)}
+        assert all(sum(words[a:b]) >= 50 for a, b in c.run_windows(lines))
+        if sum(words) >= 50:
+            assert {i for i, n in enumerate(words) if n} <= held
+        else:
+            assert not held
+
+
+def plain_with_runs(docs):
+    """``plain``, with every repeated run of lines of 50 words or more gone too; windows by trying all starts and ends."""
+    distinct = sorted({d for d in docs}, key=lambda d: (d[0] is not None, d[0] or 0))
+    places = defaultdict(list)
+    for k, (_, text) in enumerate(distinct):
+        lines = (text or "").split("\n")
+        words = [len(x.split()) for x in lines]
+        found = {(a, b) for a, b, counts in c.chunk_edges(lines) if counts}
+        for i in range(len(lines)):
+            if words[i]:
+                found.update([(i, b) for b in range(i + 1, len(lines) + 1) if sum(words[i:b]) >= 50][:1])
+                found.update([(a, i + 1) for a in range(i, -1, -1) if sum(words[a : i + 1]) >= 50][:1])
+        for a, b in found:
+            places["\n".join(lines[a:b])].append((k, a, b))
+    gone = defaultdict(set)
+    for found in places.values():
+        first, _, end = min(found)
+        for k, a, b in sorted(found)[1:]:
+            gone[distinct[k]] |= set(range(max(a, end) if k == first else a, b))
+    return [(d, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d, t])) for d, t in docs]
+
+
+def test_runs_agree_with_a_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in rows.collect()]
+    expected = plain_with_runs(docs)
+    assert sum(a != b for a, b in zip(plain(docs), expected)) > 5
+    assert Counter((r["doc_id"], r["text"]) for r in c.remove_repeated_chunks(rows).collect()) == Counter(expected)

@@ -1,0 +1,10 @@
+from __future__ import annotations
+
+import test_pipeline
+from test_line_chunks import plain_with_runs
+
+
+def test_agrees_with_a_plain_version_that_removes_whole_runs(spark, monkeypatch):
+    """The plain version of all stages, with line dedup by chunks and repeated runs instead of chunks alone."""
+    monkeypatch.setattr(test_pipeline, "plain_chunks", plain_with_runs)
+    test_pipeline.test_agrees_with_a_plain_version(spark)
