@@ -1,18 +1,20 @@
 """Near-duplicates by order min-hash, verified by banded alignment.
 
 Every text becomes the list of its lower-case words; equal lists are one node. A sketch of a node picks the two
-smallest of its five-word shingles under a random order, repeated shingles told apart by a running number, and keeps
-the order in which they stand in the text. Nodes with a sketch in common share a bucket. Within a bucket, a leader
-stands for the nodes that a lower bound of the edit distance lets pass; each such pair is aligned, and pairs whose
-similarity (1 - edits / longer length, in words) is high enough are links. Rows that a leader cannot take follow
-another one of the same bucket, and rows whose alignment failed meet again with their texts, so that the alignment
-itself picks their leaders; no row is dropped. Buckets too large for one task get one leader for all their rows by a
-join, and the rows it cannot take are dealt out anew by pairs of sketches. Classes are the connected components of
-the links.
+smallest of its shingles under a random order, repeated shingles told apart by a running number, and keeps the order
+in which they stand in the text. Nodes with a sketch in common share a bucket; of buckets with the same nodes one is
+kept. Within a bucket, a leader stands for the nodes that a lower bound of the edit distance lets pass; each such pair
+is aligned, and pairs whose similarity (1 - edits / longer length, in words) is high enough are links. That joins most
+of every class at a cost in proportion to its rows. Then all nodes of a bucket that the links so far leave in different
+classes are compared: every pair that the bound lets pass is aligned once. So the classes are those of comparing all
+pairs within all buckets. Buckets too large for one task are split by ranges of word counts that overlap by the
+budget, and what is still too large into pairs of blocks, so no two rows that may match are kept apart. Classes are
+the connected components of the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,46 +118,26 @@ def _distance(a: str, b: str, similarity: float) -> int | None:
     return distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9))
 
 
-def _lead(similarity: float, with_texts: bool):
-    """Arrow function over rows sorted by bucket: pairs every row with the first leader that takes it.
+def _by_group(of_group, names: tuple[str, ...]):
+    """Arrow function over rows sorted by ``part``: the pairs that ``of_group`` finds in the rows of each."""
 
-    A leader takes the rows that may match it; ``with_texts`` those whose alignment shows that they do.
-    """
-
-    def of_group(table: pa.Table, a: int, b: int):
-        rows = table.slice(a, b - a)
-        key, node, n = rows.column("key")[0].as_py(), rows.column("node").to_numpy(), rows.column("n").to_numpy()
-        bins, left = _bins_of(rows.column("bins")), np.arange(b - a)
-        words = rows.column("words").to_pylist() if with_texts else None
-        while len(left) > 1:
-            first, left = left[0], left[1:]
-            taken = _may_match(n[left], bins[left], n[first], bins[first], similarity)
-            for at in np.flatnonzero(taken).tolist():
-                k, edits = left[at], None
-                if words:
-                    edits = _distance(words[k], words[first], similarity)
-                    taken[at] = edits is not None
-                if taken[at]:
-                    yield key, int(node[k]), int(node[first]), edits
-            left = left[~taken]
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(rows).combine_chunks()
-            key = table.column("key").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            found = [p for a, b in zip(edges, edges[1:]) for p in of_group(table, a, b)]
-            columns = list(zip(*found)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "leader", "edits"])
+            part = table.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            found = [p for a, b in zip(edges, edges[1:]) if b - a > 1 for p in of_group(table.slice(a, b - a))]
+            columns = list(zip(*found)) or [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # The last bucket of a batch may go on in the next one.
-            key = batch.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
+            # The last group of a batch may go on in the next one.
+            part = batch.column("part").to_numpy()
+            last = int(np.searchsorted(part, part[-1]))
             if last:
                 yield finish([*held, batch.slice(0, last)])
                 held = []
@@ -163,18 +145,50 @@ def _lead(similarity: float, with_texts: bool):
         if held:
             yield finish(held)
 
-    return lead
+    return run
+
+
+def _lead(similarity: float):
+    """Pairs every row of a group with the first leader that may match it."""
+
+    def of_group(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        bins, left = _bins_of(rows.column("bins")), np.arange(rows.num_rows)
+        while len(left) > 1:
+            first, left = left[0], left[1:]
+            taken = _may_match(n[left], bins[left], n[first], bins[first], similarity)
+            for k in left[taken].tolist():
+                yield int(node[k]), int(node[first])
+            left = left[~taken]
+
+    return _by_group(of_group, ("node", "leader"))
+
+
+def _cross(similarity: float):
+    """All pairs of a group's rows that may match and have different roots."""
+
+    def of_group(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        node, n, root = (rows.column(c).to_numpy() for c in ("node", "n", "root"))
+        if (root == root[0]).all():
+            return
+        bins = _bins_of(rows.column("bins"))
+        for k in range(len(node) - 1):
+            other = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
+            other = other[np.abs(n[other] - n[k]) <= (1 - similarity) * np.maximum(n[other], n[k]) + 1e-9]
+            for j in other[_may_match(n[other], bins[other], n[k], bins[k], similarity)].tolist():
+                yield int(max(node[k], node[j])), int(min(node[k], node[j]))
+
+    return _by_group(of_group, ("node", "leader"))
 
 
 def _join_leaders(similarity: float):
-    """Arrow function over rows joined with their bucket's leader; tells which the leader may match."""
+    """Arrow function over rows joined with their bucket's leader: the pairs that may match."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, leader_n = (batch.column(c).to_numpy() for c in ("n", "leader_n"))
             ok = _may_match(n, _bins_of(batch.column("bins")), leader_n, _bins_of(batch.column("leader_bins")), similarity)
-            columns = [batch.column(c) for c in ("key", "node", "leader")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ok)], ["key", "node", "leader", "ok"])
+            yield batch.select(["node", "leader"]).filter(pa.array(ok))
 
     return decide
 
@@ -210,59 +224,78 @@ class NearDuplicates:
         self.nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         self.links = self._find_links()
 
-    def _buckets(self, keys: DataFrame, name: str) -> DataFrame:
-        """Rows of buckets with more than one row, with the bucket's size."""
-        keys = self.workspace.stage(keys.distinct(), name)
-        sizes = self.workspace.stage(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), f"{name}-sizes")
-        return keys.join(sizes, "key")
+    def _buckets(self) -> DataFrame:
+        """Rows of buckets with more than one row, with the bucket's size; one of those that hold the same nodes."""
+        stage = self.workspace.stage
+        keys = stage(self.nodes.select(F.explode(F.array_distinct("sketch")).alias("key"), "node"), "keys")
+        marks = [F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m2")]
+        sizes = stage(keys.groupBy("key").agg(F.count("*").alias("size"), *marks).filter("size > 1"), "sizes")
+        sizes = stage(sizes.groupBy("size", "m1", "m2").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
+        about = self.nodes.select("node", "n", "bins")
+        return stage(keys.join(sizes.hint("merge"), "key").join(about.hint("merge"), "node"), "active")
 
     def _find_links(self) -> DataFrame:
         stage = self.workspace.stage
-        about = self.nodes.select("node", "n", "bins")
+        active = self._buckets()
         links = self.nodes.sparkSession.createDataFrame([], "node long, leader long, edits long")
-        keys = self.nodes.select(F.explode("sketch").alias("key"), "node")
-        while True:
-            active = stage(self._buckets(keys, "buckets").join(about.hint("merge"), "node"), "active")
-            if active.isEmpty():
-                return links
-            pairs = self._leaders_of(active, with_texts=False).select("key", "node", "leader", F.lit(True).alias("ok"))
-            assigned = stage(pairs.unionAll(self._large(active, about)), "assigned")
-            texts, checked = self._verify(assigned.filter("ok").select("node", "leader").distinct())
-            links = links.unionAll(checked.filter("edits IS NOT NULL"))
-            # Rows whose leader failed meet again with their texts; all of them have been fetched.
-            failed = checked.filter("edits IS NULL").select("node", "leader")
-            again = assigned.filter("ok").join(failed.hint("merge"), ["node", "leader"], "left_semi").select("key", "node")
-            again = stage(self._buckets(again, "again").join(about.hint("merge"), "node").join(texts.hint("merge"), "node"), "again-texts")
-            links = links.unionAll(stage(self._leaders_of(again, with_texts=True).select("node", "leader", "edits"), "found-again"))
-            # What is left of large buckets: rows that one leader could not take, dealt out by pairs of sketches, and
-            # failed rows that are still too many, which try another leader.
-            rest = assigned.filter("NOT ok").select("key", "node").join(self.nodes.select("node", "sketch"), "node")
-            finer = rest.select("key", "node", F.explode("sketch").alias("other")).filter("key != other")
-            finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node")
-            keys = again.filter(F.col("size") > BUCKET_ROWS).select("key", "node").unionAll(finer)
-
-    def _leaders_of(self, rows: DataFrame, with_texts: bool) -> DataFrame:
-        """``key, node, leader, edits`` within the buckets that fit one task."""
-        columns = ["key", "node", "n", "bins", *(["words"] if with_texts else [])]
-        small = rows.filter(F.col("size") <= BUCKET_ROWS).select(*columns)
-        ordered = small.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
-        return ordered.mapInArrow(_lead(self.similarity, with_texts), "key long, node long, leader long, edits long")
-
-    def _large(self, active: DataFrame, about: DataFrame) -> DataFrame:
-        """Rows of large buckets against one leader each, by a join that can split the bucket."""
-        large = self.workspace.stage(active.filter(F.col("size") > BUCKET_ROWS).select("key", "node", "n", "bins"), "large")
+        if active.isEmpty():
+            return links
+        small, large = active.filter(F.col("size") <= BUCKET_ROWS), active.filter(F.col("size") > BUCKET_ROWS)
+        parts = small.withColumn("part", F.col("key")).unionAll(self._ranges(large, whole=False))
+        pairs = self._in_groups(parts, _lead, ["part", "node", "n", "bins"]).unionAll(self._large(large))
+        links = links.unionAll(self._verify(pairs.distinct()).filter("edits IS NOT NULL"))
+        # What a leader refused, or failed to align with, may still match others of the bucket: all pairs of rows that
+        # the links so far leave apart are tried.
+        roots = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")), self.workspace)
+        rooted = active.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = stage(rooted, "rooted-rows")
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        rooted = rooted.join(stage(open_keys.select("key"), "open-buckets").hint("merge"), "key")
+        small, large = rooted.filter(F.col("size") <= BUCKET_ROWS), rooted.filter(F.col("size") > BUCKET_ROWS)
+        parts = small.withColumn("part", F.col("key")).unionAll(self._ranges(large, whole=True))
+        pairs = self._in_groups(parts, _cross, ["part", "node", "n", "bins", "root"])
+        return links.unionAll(self._verify(pairs.distinct()).filter("edits IS NOT NULL"))
+
+    def _ranges(self, large: DataFrame, whole: bool) -> DataFrame:
+        """Large buckets in parts that fit one task, as ``part``.
+
+        With ``whole``, any two rows of a bucket whose word counts are within the budget share a part: a row goes to
+        its range of word counts and the next, and of ranges that are still too large to every pair of blocks with its
+        own. Without, every row goes to one part only.
+        """
+        # Ranges are wide enough that rows that may match are in the same or in neighbouring ones.
+        level = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / math.log(1.01 / max(self.similarity, 0.1)))
+        levels = F.array(level, level + 1) if whole else F.array(level)
+        rows = large.select("*", F.explode(levels).alias("level")).withColumn("part", F.xxhash64("key", "level")).drop("level")
+        sizes = rows.groupBy("part").agg(F.count("*").alias("rows"))
+        blocks = F.when(F.col("rows") <= BUCKET_ROWS, 1).otherwise(F.ceil(2 * F.col("rows") / BUCKET_ROWS)).cast("int")
+        sizes = self.workspace.stage(sizes.select("part", blocks.alias("blocks")), "blocks")
+        rows = rows.join(sizes.hint("merge"), "part").withColumn("own", F.pmod(F.xxhash64("node", "part"), "blocks"))
+        other = F.sequence(F.lit(0), F.col("blocks") - 1) if whole else F.array("own")
+        rows = rows.withColumn("other", F.explode(other))
+        part = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))
+        return rows.withColumn("part", part).select(*large.columns, "part")
+
+    def _in_groups(self, parts: DataFrame, function, columns: list[str]) -> DataFrame:
+        """``node, leader`` that an Arrow function finds in each part."""
+        ordered = parts.select(*columns).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part"))
+        return ordered.mapInArrow(function(self.similarity), "node long, leader long")
+
+    def _large(self, large: DataFrame) -> DataFrame:
+        """Rows of large buckets that one leader each may match, by a join that can split the bucket."""
+        large = self.workspace.stage(large.select("key", "node", "n", "bins"), "large")
         first = F.min(F.struct(F.xxhash64("node", "key"), "node", "n", "bins")).alias("first")
         leaders = large.groupBy("key").agg(first).select(
             "key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.bins").alias("leader_bins")
         )
         leaders = self.workspace.stage(leaders, "leaders")
         joined = large.join(leaders, "key").filter("node != leader")
-        return joined.select("key", "node", "leader", "n", "bins", "leader_n", "leader_bins").mapInArrow(
-            _join_leaders(self.similarity), "key long, node long, leader long, ok boolean"
+        return joined.select("node", "leader", "n", "bins", "leader_n", "leader_bins").mapInArrow(
+            _join_leaders(self.similarity), "node long, leader long"
         )
 
-    def _verify(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The texts of all nodes in ``pairs``, and ``node, leader, edits`` per pair; edits are null beyond the budget."""
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """``node, leader, edits`` of every pair; edits are null beyond the budget."""
         stage = self.workspace.stage
         pairs = stage(pairs, "pairs")
         wanted = pairs.select("node").unionAll(pairs.select(F.col("leader").alias("node"))).distinct()
@@ -276,7 +309,7 @@ class NearDuplicates:
         aligned = both.select("node", "leader", "words_a", "words_b").mapInArrow(
             _align(self.similarity), "node long, leader long, edits long"
         )
-        return texts, stage(aligned, "aligned")
+        return stage(aligned, "aligned")
 
     def classes(self, with_root: bool = False) -> DataFrame:
         """``h1, h2, class_id`` of every node; the class id is the smallest document id in the class.

@@ -153,3 +153,52 @@ def test_no_link_of_the_small_table_is_missed(spark):
             if distance_within(docs[a], docs[b], int(budget[j])) is not None:
                 links, missed = links + 1, missed + (found[a] != found[b])
     assert links > 150 and missed <= links // 100
+
+
+def substituted(rng, text, n):
+    """``n`` words of a text replaced, at different places."""
+    text = list(text)
+    for at in rng.sample(range(len(text)), n):
+        text[at] = f"new{rng.randrange(10**9)}"
+    return text
+
+
+def bucket_classes(docs):
+    """Classes by aligning all pairs that share a sketch."""
+    from xxhash import xxh64_intdigest
+
+    texts = {d: t.lower().split() for d, t in docs}
+    keys = {d: set(m.sketch(np.array([xxh64_intdigest(w, seed=42) for w in t], np.uint64)).tolist()) for d, t in texts.items()}
+    parent = {d: d for d in texts}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            budget = int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)
+            if root(a) != root(b) and keys[a] & keys[b] and m._distance(" ".join(texts[a]), " ".join(texts[b]), 0.8) is not None:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {d: root(d) for d in ids}
+
+
+def chains(seed, n_chains, n_words=200, versions=8):
+    rng = random.Random(seed)
+    docs = []
+    for k in range(n_chains):
+        text = words(rng, n_words)
+        for _ in range(versions):
+            docs.append(" ".join(text))
+            text = substituted(rng, text, int(n_words * rng.choice((0.1, 0.12, 0.15))))
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_drifting_versions_keep_every_link_of_their_buckets(spark):
+    docs = chains(21, 60)
+    out = m.near_duplicate_classes(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == bucket_classes(docs)
