@@ -202,3 +202,13 @@ def test_drifting_versions_keep_every_link_of_their_buckets(spark):
     docs = chains(21, 60)
     out = m.near_duplicate_classes(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {r["doc_id"]: r["class_id"] for r in out} == bucket_classes(docs)
+
+
+def test_large_buckets_keep_every_link(spark, monkeypatch):
+    """Texts around one boilerplate passage, many pairs of which have a single sketch in common."""
+    monkeypatch.setattr(m, "BUCKET_ROWS", 6)
+    rng = random.Random(23)
+    passage = " ".join(words(rng, 40))
+    docs = [(d, f"{passage} {text}") for d, text in chains(22, 40, n_words=80, versions=3)]
+    out = m.near_duplicate_classes(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == bucket_classes(docs)
