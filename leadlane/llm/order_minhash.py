@@ -28,17 +28,26 @@ from leadlane.llm.components import components
 from leadlane.sources.staging import Workspace
 
 SHINGLE = 5
-SKETCHES = 16
+#: Words of the shingles that sketches are made of: at similarity 0.8 half of them survive, of longer ones too few do.
+SKETCH_SHINGLE = 3
+SKETCHES = 40
 PICKED = 2
+#: Texts of at most so many words get further sketches, of as many single words.
+SHORT_WORDS = 60
+SHORT_SKETCHES = 16
+SHORT_PICKED = 3
 SIMILARITY = 0.8
 #: Bins of word counts from which the lower bound of the edit distance is taken.
 BINS = 256
 #: Nodes of a bucket that one task handles together.
 BUCKET_ROWS = 4000
+#: Orders of the nodes in which buckets pick their leaders.
+LEADER_ORDERS = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
+_SHORT_SEEDS = np.random.default_rng(20240608).integers(1, 1 << 63, SHORT_SKETCHES, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,11 +56,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
+def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the shingles, equal ones numbered; a shorter text is one shingle."""
-    n = max(len(words) - SHINGLE + 1, 1)
+    n = max(len(words) - size + 1, 1)
     code = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(words))):
+    for k in range(min(size, len(words))):
         code = _mix(code + words[k : k + n]) + np.uint64(k)
     order = np.argsort(code, kind="stable")
     same = np.concatenate([[False], np.diff(code[order]) == 0])
@@ -67,12 +76,18 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 def sketch(words: np.ndarray) -> np.ndarray:
     """One key per sketch: the picked shingles in the order of the text."""
-    code = shingles(words)
-    picked = min(PICKED, len(code))
-    keys = np.empty(SKETCHES, np.uint64)
+    keys = _pick(shingles(words, SKETCH_SHINGLE), PICKED, _SEEDS)
+    if len(words) > SHORT_WORDS:
+        return keys
+    return np.concatenate([keys, _pick(shingles(words, 1), SHORT_PICKED, _SHORT_SEEDS)])
+
+
+def _pick(code: np.ndarray, count: int, all_seeds: np.ndarray) -> np.ndarray:
+    picked = min(count, len(code))
+    keys = np.empty(len(all_seeds), np.uint64)
     step = max(1, (1 << 20) // len(code))
-    for a in range(0, SKETCHES, step):
-        seeds = _SEEDS[a : a + step, None]
+    for a in range(0, len(keys), step):
+        seeds = all_seeds[a : a + step, None]
         values = _mix(code[None, :] ^ seeds)
         at = np.sort(np.argpartition(values, picked - 1, axis=1)[:, :picked], axis=1)
         key = seeds[:, 0].copy()
@@ -278,13 +293,15 @@ class NearDuplicates:
 
     def _in_groups(self, parts: DataFrame, function, columns: list[str]) -> DataFrame:
         """``node, leader`` that an Arrow function finds in each part."""
-        ordered = parts.select(*columns).repartition("part").sortWithinPartitions("part", F.xxhash64("node", "part"))
+        # With few orders of the nodes, most buckets of a class have the same leaders, so links are found once.
+        order = F.xxhash64("node", F.pmod("part", F.lit(LEADER_ORDERS)))
+        ordered = parts.select(*columns).repartition("part").sortWithinPartitions("part", order)
         return ordered.mapInArrow(function(self.similarity), "node long, leader long")
 
     def _large(self, large: DataFrame) -> DataFrame:
         """Rows of large buckets that one leader each may match, by a join that can split the bucket."""
         large = self.workspace.stage(large.select("key", "node", "n", "bins"), "large")
-        first = F.min(F.struct(F.xxhash64("node", "key"), "node", "n", "bins")).alias("first")
+        first = F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADER_ORDERS))), "node", "n", "bins")).alias("first")
         leaders = large.groupBy("key").agg(first).select(
             "key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.bins").alias("leader_bins")
         )

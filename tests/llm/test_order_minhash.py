@@ -212,3 +212,19 @@ def test_large_buckets_keep_every_link(spark, monkeypatch):
     docs = [(d, f"{passage} {text}") for d, text in chains(22, 40, n_words=80, versions=3)]
     out = m.near_duplicate_classes(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {r["doc_id"]: r["class_id"] for r in out} == bucket_classes(docs)
+
+
+def test_recall_of_sketches_by_similarity():
+    """Pairs with spread substitutions that have a sketch in common, down to the threshold itself."""
+    rng = np.random.default_rng(24)
+    for n in (20, 60, 61, 300):
+        for percent, least in ((10, 0.995), (15, 0.985), (20, 0.96)):
+            met, pairs = 0, 400
+            for _ in range(pairs):
+                one = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+                other = one.copy()
+                at = rng.choice(n, n * percent // 100, replace=False)
+                other[at] = rng.integers(1, 1 << 63, len(at), dtype=np.uint64)
+                met += bool(set(m.sketch(one).tolist()) & set(m.sketch(other).tolist()))
+            print(n, percent, met / pairs)
+            assert met >= least * pairs, (n, percent, met / pairs)
