@@ -41,8 +41,9 @@ SIMILARITY = 0.8
 BINS = 256
 #: Nodes of a bucket that one task handles together.
 BUCKET_ROWS = 4000
-#: Orders of the nodes in which buckets pick their leaders.
-LEADER_ORDERS = 4
+#: Orders of the nodes in which buckets pick their leaders: with few of them much of a class is left to the comparison
+#: of all pairs, with many the same links are found often. Classes do not depend on it.
+LEADER_ORDERS = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
