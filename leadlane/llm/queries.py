@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import decontaminate, langid, line_chunks, neural_lm, order_minhash, packing, quality, token_counts, token_files, warc
-from leadlane.llm.common import read_table
+from leadlane.llm import decontaminate, langid, line_chunks, neural_lm, order_minhash, packing, periodic_runs, quality, token_counts, token_files, warc
+from leadlane.llm.common import SPACES, WORD, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +59,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op5_neural_lm, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate)}
+def repeat_planted_words(docs: DataFrame) -> DataFrame:
+    """Documents chosen by a hash of their id repeat a stretch of their words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.split(F.trim(F.regexp_replace("text", SPACES, " ")), " ")
+    n, g = F.col("n"), F.col("g")
+    chosen = (
+        docs.select("doc_id", "text", h.alias("h"))
+        .withColumn("words", F.when((F.col("h") % 10 == 0) & F.col("text").rlike(WORD), words))
+        .select("doc_id", "text", "words", F.size("words").cast("long").alias("n"), F.expr("h div 10").alias("g"))
+        .withColumn("a", F.when(n > 0, g % n))
+        .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    )
+    repeated = F.expr("transform(sequence(0, cast(n - 1 AS int)), i -> words[cast(if(i < a, i, a + (i - a) % p) AS int)])")
+    return chosen.select("doc_id", F.when(F.col("words").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.find_runs(repeat_planted_words(read_table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op5_neural_lm, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate, op11_periodic_runs)}
 #: What SQL can say. Tokenizers, hashed models, alignment and packing it cannot; tests hold plain versions of those.
 SQL: dict[str, str] = {
     "op2_warc": """
