@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlane.llm import decontaminate, langid, line_chunks, neural_lm, order_minhash, packing, periodic_runs, quality, token_counts, token_files, warc
+from leadlane.llm import decontaminate, langid, licenses, line_chunks, neural_lm, order_minhash, packing, periodic_runs, quality, token_counts, token_files, warc
 from leadlane.llm.common import SPACES, WORD, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(periodic_runs.find_runs(repeat_planted_words(read_table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op5_neural_lm, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate, op11_periodic_runs)}
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.judge(licenses.scan_licenses(read_table(spark, sf_dir, "documents"))).drop("duty")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_warc, op3_token_counts, op4_token_files, op5_neural_lm, op6_quality, op7_order_minhash, op8_line_chunks, op9_langid, op10_decontaminate, op11_periodic_runs, op12_licenses)}
 #: What SQL can say. Tokenizers, hashed models, alignment and packing it cannot; tests hold plain versions of those.
 SQL: dict[str, str] = {
     "op2_warc": """
