@@ -1,0 +1,130 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import pytest
+from compare import differences
+from pyspark.sql import functions as F
+
+from leadlane.llm import merkle_manifest as m
+from leadlane.llm.queries import SQL, op13_merkle_manifest
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(row):
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+
+def climb(nodes, fan_out):
+    """Root of some nodes, and per node the siblings (left, right) of every level."""
+    paths, where = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, i in enumerate(where):
+            a = i - i % fan_out
+            paths[k].append(("".join(nodes[a:i]), "".join(nodes[i + 1 : a + fan_out])))
+            where[k] = i // fan_out
+        nodes = [h(*nodes[i : i + fan_out]) for i in range(0, len(nodes), fan_out)]
+    return nodes[0], paths
+
+
+def plain(rows, fan_out=3):
+    """{(id, leaf): (group, subroot, root, path)} of rows (id, source, lang, n_chars, text)."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    found, roots = [], []
+    for name in names:
+        members = sorted(((r[0], plain_leaf(r)) for r in groups[name]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        root, paths = climb([x[1] for x in members], fan_out)
+        roots.append(root)
+        found += [(i, leaf, name, pos, root, path) for pos, ((i, leaf), path) in enumerate(zip(members, paths))]
+    root, upper = climb(roots, fan_out)
+    at = {name: path for name, path in zip(names, upper)}
+    return [(i, leaf, name, pos, sub, root, path + at[name]) for i, leaf, name, pos, sub, path in found]
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars int, text string")
+
+
+def proofs(manifest):
+    out = []
+    for r in manifest.proofs().collect():
+        out.append((r["id"], r["leaf"], r["group"], r["pos"], r["subroot"], r["root"], [tuple(s) for s in r["path"]]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("fan_out, levels", [(3, 5), (3, 1), (2, 2)])
+def test_agrees_with_a_plain_tree(spark, monkeypatch, fan_out, levels):
+    monkeypatch.setattr(m, "BLOCK_LEVELS", levels)
+    rng = random.Random(fan_out * 10 + levels)
+    names = [None, "", "=", "a", "é", "z", "Z", "𐀀", "￿"] + [f"s{k}" for k in range(12)]
+    ids = rng.sample([*range(-70, 700), 1 << 40, (1 << 63) - 1, -(1 << 63), 1 << 17], 500)
+    rows = []
+    for i in ids:
+        name = "a" if rng.random() < 0.35 else rng.choice(names)
+        rows.append((i, name, rng.choice(["en", None]), rng.choice([None, 3]), rng.choice([None, "", "x\ny", f"text {i}"])))
+    assert proofs(m.Manifest(table(spark, rows), fan_out=fan_out)) == sorted(plain(rows, fan_out), key=repr)
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 5, 5, 7, 70, *range(60, 100)]), rng.choice(["a", "a", "b", None]), "en", 1, f"t{rng.randrange(40)}") for _ in range(400)]
+    rows += [(5, "a", "en", 1, "the same")] * 150 + [(None, None, None, None, None)] * 40
+    docs = table(spark, rows).selectExpr("*", "1 AS id", "2 AS Name", "3 AS `a.b`", "4 AS pos", "5 AS digest")
+    assert proofs(m.Manifest(docs)) == sorted(plain(rows), key=repr)
+
+
+def test_small_tables(spark):
+    for rows in ([(1, "a", None, None, None)], [(None, None, None, None, "")], [(1, "a", "", 0, ""), (1, "b", None, None, None)], [(k, "a", "x", 1, "y" * 300_000) for k in range(4)]):
+        manifest = m.Manifest(table(spark, rows))
+        assert proofs(manifest) == sorted(plain(rows), key=repr)
+        assert manifest.root == plain(rows)[0][5]
+        assert {(r["name"], r["n"], r["subroot"]) for r in manifest.groups.collect()} == {
+            ("" if n is None else f"={n}", sum(1 for x in rows if x[1] == n), s) for _, _, n, _, s, _, _ in plain(rows)
+        }
+    empty = m.Manifest(table(spark, []))
+    assert empty.root is None and empty.proofs().collect() == []
+    with pytest.raises(TypeError):
+        m.Manifest(table(spark, []).withColumn("doc_id", F.lit("x")))
+
+
+def test_folding_tells_altered_rows(spark):
+    rows = [(k, f"s{k % 4}", "en", 9, f"line\n{k}" if k % 3 else "one line") for k in range(300)]
+    docs = table(spark, rows)
+    claim = F.when(F.col("doc_id") % 2 == 0, m.leaf(*[F.col(c) for c in COLUMNS[:4]], F.regexp_replace("text", "\n", "")))
+    out = m.Manifest(docs, claim=claim).proofs()
+    for r in out.select("id", m.fold(F.col("claim"), F.col("path")).alias("folded"), "root").collect():
+        assert (r["folded"] == r["root"]) == (r["id"] % 2 == 1 or r["id"] % 3 == 0)
+
+
+def test_query_agrees_with_a_plain_version(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS).collect()]
+    expected = {}
+    by_id = {r[0]: r for r in rows}
+    for i, leaf, _, _, subroot, root, path in plain(rows):
+        node = leaf
+        if zlib.crc32(str(i).encode()) % 2 == 0:
+            r = by_id[i]
+            node = plain_leaf((*r[:4], r[4].replace("\n", "") if r[4] is not None else None))
+        for left, right in path:
+            node = h(left, node, right)
+        expected[i] = (leaf, subroot, root, h(*[a + b for a, b in path]), node, node == root)
+    found = {r["doc_id"]: tuple(r)[1:] for r in op13_merkle_manifest(spark, SF).collect()}
+    assert found == expected and {v[-1] for v in found.values()} == {True, False}
+
+
+def test_query_agrees_with_its_sql(spark):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    assert differences(op13_merkle_manifest(spark, SF), connection, SQL["op13_merkle_manifest"]) == ""
