@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -20,15 +21,15 @@ BOM = chr(0xFEFF)
 
 # Encodings in which a line break or a quote is not the same byte as in ASCII; their files cannot be split.
 WIDE_ENCODINGS = ("utf-16", "utf-16be", "utf-16le", "utf-32", "utf-32be", "utf-32le")
-_QUOTED = r'"(?:[^"]|"")*"'
+# Quotes are doubled inside quotes.
+_DIALECT = {"quote": '"', "escape": '"'}
 
 
 def _reader(spark: SparkSession, multiline: bool, encoding: str):
-    """Reader for quotes doubled inside quotes, and every line, the header included, as a row of texts."""
+    """Reader of every line, the header included, as a row of texts."""
     return (
-        spark.read.option("header", False)
-        .option("quote", '"')
-        .option("escape", '"')
+        spark.read.options(**_DIALECT)
+        .option("header", False)
         .option("multiLine", multiline)
         .option("encoding", encoding)
         .option("columnNameOfCorruptRecord", "odd_record")
@@ -60,6 +61,19 @@ def read_header(spark: SparkSession, path: str | list[str], multiline: bool, enc
     return found
 
 
+def _has_more_cells(record: Column, cells: list[str]) -> Column:
+    """Whether the text of a record has more cells than these, as the parser itself counts them.
+
+    The record is parsed once more with one cell added. If that cell, a text that occurs nowhere, is not among the first
+    ones, then others are; in a record that ends within quotes it is the end of its last cell.
+    """
+    end = uuid.uuid4().hex
+    schema = ", ".join(f"`{c}` string" for c in cells)
+    parsed = F.from_csv(F.concat(record, F.lit(f",{end}")), schema, {**_DIALECT, "mode": "PERMISSIVE"})
+    found = F.exists(F.array(*[parsed[c] for c in cells]), lambda cell: F.coalesce(cell.endswith(end), F.lit(False)))
+    return record.isNotNull() & ~found
+
+
 def _records(spark: SparkSession, path: str | list[str], header: list[str], multiline: bool, encoding: str) -> DataFrame:
     """One row per record, blank lines left out, with the file, the block of the file and whether it is too long."""
     cells = [f"cell_{i}" for i in range(len(header))]
@@ -67,8 +81,6 @@ def _records(spark: SparkSession, path: str | list[str], header: list[str], mult
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "odd_record"]])
     is_record = F.coalesce(F.btrim("odd_record", F.lit(" \t\r\n")) != "", F.lit(True))
     is_header = [F.coalesce(strip(F.ltrim(F.col(c), F.lit(BOM))), F.lit("")) == n for c, n in zip(cells, header)]
-    commas = F.regexp_replace("odd_record", _QUOTED, "")
-    n_cells = F.length(commas) - F.length(F.replace(commas, F.lit(","), F.lit(""))) + 1
     # A lead column found twice is read from its first place; other columns are not needed.
     wanted = [F.col(cells[header.index(c)]).alias(c) for c in rules.COLUMNS]
     return (
@@ -81,7 +93,7 @@ def _records(spark: SparkSession, path: str | list[str], header: list[str], mult
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block"),
             reduce(and_, is_header).alias("is_header"),
-            F.coalesce(n_cells > len(header), F.lit(False)).alias("too_long"),
+            _has_more_cells(F.col("odd_record"), cells).alias("too_long"),
         )
     )
 
