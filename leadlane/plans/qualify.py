@@ -26,8 +26,9 @@ def dispositions(raw: DataFrame, workspace: Workspace | None = None) -> DataFram
     Deduplication reads the cleaned rows twice, to find the winners and to look them up, so they are written
     once instead of being parsed twice.
     """
-    cleaned = workspace_of(raw, workspace).stage(clean_rows(raw).drop("created_raw"), "clean")
-    resolved = dedupe(cleaned, eligible=F.col("reason").isNull())
+    workspace = workspace_of(raw, workspace)
+    cleaned = workspace.stage(clean_rows(raw).drop("created_raw"), "clean")
+    resolved = dedupe(cleaned, eligible=F.col("reason").isNull(), workspace=workspace)
     return resolved.withColumn("reason", F.coalesce("reason", F.when(~F.col("is_primary"), rules.DUPLICATE)))
 
 

@@ -47,6 +47,12 @@ def path_bytes(spark: SparkSession, path: str) -> int | None:
     return sum(files.getContentSummary(f.getPath()).getLength() for f in found) if found else None
 
 
+def finished_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders of a glob that a Spark job has written to the end."""
+    hadoop_path, files = _file_system(spark, f"{pattern}/_SUCCESS")
+    return [f.getPath().getParent().getName() for f in files.globStatus(hadoop_path) or ()]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path, files = _file_system(spark, path)
     files.delete(hadoop_path, True)
@@ -69,6 +75,11 @@ class Workspace:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bytes_of(self, staged: DataFrame) -> int:
+        """Size of the files of a staged table."""
+        files = staged.inputFiles()
+        return (path_bytes(self.spark, files[0].rsplit("/", 1)[0]) or 0) if files else 0
+
     def __enter__(self) -> Workspace:
         return self
 

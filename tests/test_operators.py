@@ -135,9 +135,10 @@ def _skewed(spark, rows=4000):
     return records(spark, *changes)
 
 
-@pytest.mark.parametrize("hot_rows, hot_groups", [(100_000, 10_000), (100, 10_000), (2, 5)])
-def test_dedupe_of_skewed_keys_equals_the_window_form(spark, monkeypatch, hot_rows, hot_groups):
+@pytest.mark.parametrize("hot_rows, hot_groups, small", [(100_000, 10_000, 1 << 30), (100_000, 10_000, 0), (100, 10_000, 0), (2, 5, 0)])
+def test_dedupe_of_skewed_keys_equals_the_window_form(spark, monkeypatch, hot_rows, hot_groups, small):
     """Whichever groups go through the broadcast, and however many are beyond its bound."""
+    monkeypatch.setattr(dedup, "BROADCAST_BYTES", small)
     monkeypatch.setattr(dedup, "HOT_GROUP_ROWS", hot_rows)
     monkeypatch.setattr(dedup, "HOT_GROUPS", hot_groups)
     df = _skewed(spark)
@@ -147,21 +148,44 @@ def test_dedupe_of_skewed_keys_equals_the_window_form(spark, monkeypatch, hot_ro
     assert {len(rows) for rows in (got, expected)} == {4000}
 
 
-def test_dedupe_without_any_broadcast_of_the_small_groups(spark):
-    """The plan for large data: the winners are joined by a shuffle, only the bounded hot groups are broadcast."""
-    df = _skewed(spark, 900).repartition(4, "source_row")
+def test_only_rows_that_may_have_a_partner_are_shuffled(spark, monkeypatch, tmp_path):
+    """The plan for large data: single rows stay in place, and a filter of bounded size finds the others."""
+    monkeypatch.setattr(dedup, "BROADCAST_BYTES", 0)
+    changes = [{"lead_id_canonical": str(i if i % 10 else i // 50), "notes": "n" * 50} for i in range(1, 3001)]
+    records(spark, *changes).repartition(4, "source_row").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
     expected = sorted(dedup.dedupe_by_window(df).select("source_row", "duplicate_of").collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         result = dedup.dedupe(df)
         plan = result._jdf.queryExecution().executedPlan().toString()
         assert sorted(result.select("source_row", "duplicate_of").collect()) == expected
+        # The filter stands in front of the exchange, and only one of two branches has an exchange of wide rows.
+        wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(look_up" in line]
+        branches = plan.split("Union")[1]
+        assert len(wide) == 1 and branches.index("SortMergeJoin") < branches.index("getbit")
+        from leadlane.operators.key_filter import blocks_for, key_filter, with_may_hold
+
+        won = dedup.best_per_key(df, "lead_id_canonical", ("name",)).filter("group_rows > 1")
+        held = key_filter(won, "win_key", blocks_for(won.count()))
+        marked = with_may_hold(df, held, F.col("lead_id_canonical"), blocks_for(won.count()), "may")
+        group = marked.groupBy("lead_id_canonical").agg(F.count("*").alias("n"), F.min("may").alias("low"), F.max("may").alias("high"))
+        assert group.filter("n > 1 AND NOT low").isEmpty() and group.filter("n = 1 AND high").count() < 60
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
-    assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_key_filter_of_odd_keys(spark):
+    from leadlane.operators.key_filter import key_filter, with_may_hold
+
+    keys = spark.createDataFrame([("a",), ("é" * 1000,), ("",)], "k string")
+    rows = spark.createDataFrame([("a",), (None,), ("",), ("é" * 1000,)] + [(f"x{i}",) for i in range(50)], "key string")
+    for blocks in (1, 3, 131072):
+        out = with_may_hold(rows, key_filter(keys, "k", blocks), F.col("key"), blocks, "may")
+        assert {r["key"] for r in out.filter("may").collect()} == {"a", "", "é" * 1000}
+        assert with_may_hold(rows, key_filter(keys.limit(0), "k", blocks), F.col("key"), blocks, "may").filter("may").isEmpty()
 
 
 # --- notes ----------------------------------------------------------------------------------------------
