@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadlane import rules
@@ -12,24 +12,30 @@ from leadlane.operators.clean import check_columns, clean_rows, origin_columns,
 from leadlane.operators.dedup import dedupe
 from leadlane.operators.explore import count_each, filter_leads
 from leadlane.operators.ranking import rank_leads, top_leads
-from leadlane.operators.scoring import add_verdict, score_parts
+from leadlane.operators.scoring import add_verdict, recommend, score_parts
+from leadlane.plans.publish import publish, read_published
 from leadlane.sources.lead_csv import read_leads_csv, write_csv
 from leadlane.sources.ordinals import number_rows
 from leadlane.sources.staging import Workspace, workspace_of
 
+STAT_COLUMNS = ("total_rows_read", "junk_rows_dropped", "duplicate_rows_dropped", "qualified_rows")
 SCORES = ("fit_score", "intent_score", "engagement_score", "score")
 
 
+def _decide(raw: DataFrame, workspace: Workspace) -> tuple[DataFrame, int]:
+    """The rows with their reasons, and how many were read."""
+    cleaned, seen = workspace.stage_counted(clean_rows(raw).drop("created_raw"), "clean", rows=F.count(F.lit(1)))
+    resolved = dedupe(cleaned, eligible=F.col("reason").isNull(), workspace=workspace)
+    return resolved.withColumn("reason", F.coalesce("reason", F.when(~F.col("is_primary"), rules.DUPLICATE))), seen["rows"]
+
+
 def dispositions(raw: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """Clean fields of every input row with its ``reason`` for exclusion, null for the leads kept.
 
     Deduplication reads the cleaned rows twice, to find the winners and to look them up, so they are written
     once instead of being parsed twice.
     """
-    workspace = workspace_of(raw, workspace)
-    cleaned = workspace.stage(clean_rows(raw).drop("created_raw"), "clean")
-    resolved = dedupe(cleaned, eligible=F.col("reason").isNull(), workspace=workspace)
-    return resolved.withColumn("reason", F.coalesce("reason", F.when(~F.col("is_primary"), rules.DUPLICATE)))
+    return _decide(raw, workspace_of(raw, workspace))[0]
 
 
 def lead_rows(decided: DataFrame) -> DataFrame:
@@ -53,8 +59,10 @@ def ranked_columns(verdicts: DataFrame) -> list:
 class LeadRun:
     """Result of one run; every table is a lazy view.
 
-    ``decided`` has all input rows with their ``reason`` for exclusion, null for leads; ``parts`` has the leads with
-    their scores. What concerns excluded rows is read from ``decided`` alone, so they are never scored.
+    ``decided`` has the input rows with their ``reason`` for exclusion, null for leads, which a materialised run leaves
+    out of it; ``parts`` has the leads with their scores. What concerns excluded rows is read from ``decided`` alone, so
+    they are never scored. ``rows_read`` is the number of input rows, if it was counted, and ``counts`` what was observed
+    when the run was materialised, for its thresholds.
     """
 
     decided: DataFrame
@@ -62,6 +70,8 @@ class LeadRun:
     contact_now: float = rules.CONTACT_NOW_THRESHOLD
     nurture: float = rules.NURTURE_THRESHOLD
     workspace: Workspace | None = None
+    rows_read: int | None = None
+    counts: dict[str, int] | None = None
 
     @property
     def leads(self) -> DataFrame:
@@ -105,9 +115,13 @@ class LeadRun:
         return ordered.select(*[shown.get(c, F.col(c)).alias(c) for c in columns])
 
     def stats(self) -> DataFrame:
-        """One row: the four row counts and the number of leads per bucket."""
-        rows = self.decided.select(F.coalesce("reason", F.lit("")).alias("reason"), F.lit(None).cast("string").alias("bucket"))
-        leads = self.leads.select(F.lit(None).cast("string"), F.col("recommendation"))
+        """One row: the four row counts and the number of leads per bucket; a materialised run has counted them."""
+        if self.counts:
+            totals = ", ".join(f"{self.counts[c]}L AS {c}" for c in STAT_COLUMNS)
+            buckets = ", ".join(f"'{b}', {self.counts[b]}L" for b in rules.BUCKETS)
+            return self.parts.sparkSession.sql(f"SELECT {totals}, map({buckets}) AS counts_by_recommendation")
+        rows = self.decided.select("reason", F.lit(None).cast("string").alias("bucket")).filter("reason IS NOT NULL")
+        leads = self.leads.select(F.lit("").alias("reason"), F.col("recommendation"))
         reason, bucket = F.col("reason"), F.col("bucket")
         counted = rows.unionAll(leads).agg(
             F.count("reason").alias("total_rows_read"),
@@ -127,12 +141,29 @@ class LeadRun:
 
     def with_thresholds(self, contact_now: float, nurture: float) -> LeadRun:
         """The same leads in other buckets; nothing but the bucket and the end of the sentence changes."""
-        return replace(self, contact_now=contact_now, nurture=nurture)
+        return replace(self, contact_now=contact_now, nurture=nurture, counts=None)
 
     def materialize(self, workspace: Workspace | None = None) -> LeadRun:
-        """Write the decided rows and the scored leads once; all tables then read what is written."""
+        """Write the excluded rows and the scored leads once; all tables then read what is written.
+
+        Both writes count their rows on the way, so the summary needs no pass of its own. Rows that do not add up to
+        those read are an error.
+        """
         workspace = workspace or self.workspace or Workspace(self.decided.sparkSession)
-        return replace(self, decided=workspace.stage(self.decided, "decided"), parts=workspace.stage(self.parts, "scored"))
+        reason = F.col("reason")
+        excluded, left_out = workspace.stage_counted(
+            self.decided.filter("reason IS NOT NULL"),
+            "excluded",
+            excluded=F.count(F.lit(1)),
+            junk_rows_dropped=F.count_if(reason.isin(*rules.JUNK_DETAILS)),
+            duplicate_rows_dropped=F.count_if(reason == rules.DUPLICATE),
+        )
+        bucket = recommend(F.col("score"), F.col("hard_disqualify"), F.lit(float(self.contact_now)), F.lit(float(self.nurture)))
+        per_bucket = {b: F.count_if(bucket == b) for b in rules.BUCKETS}
+        scored, leads = workspace.stage_counted(self.parts, "scored", qualified_rows=F.count(F.lit(1)), **per_bucket)
+        total = left_out["excluded"] + leads["qualified_rows"]
+        check_total(self.rows_read, total)
+        return replace(self, decided=excluded, parts=scored, rows_read=total, counts={"total_rows_read": total, **left_out, **leads})
 
     def close(self) -> None:
         """Delete the run's intermediate tables; its DataFrames can no longer be used."""
@@ -146,6 +177,12 @@ class LeadRun:
         self.close()
 
 
+def check_total(rows_read: int | None, rows_written: int) -> None:
+    """Every row read is a lead or an excluded row, once."""
+    if rows_read is not None and rows_read != rows_written:
+        raise RuntimeError(f"{rows_read:,} rows were read, but leads and excluded rows are {rows_written:,}")
+
+
 def qualify(
     raw: DataFrame,
     contact_now: float = rules.CONTACT_NOW_THRESHOLD,
@@ -161,8 +198,8 @@ def qualify(
     workspace = workspace_of(raw, workspace)
     if "source_row" not in raw.columns:
         raw = number_rows(raw, workspace)
-    decided = dispositions(raw, workspace)
-    return LeadRun(decided, score_parts(lead_rows(decided)), contact_now, nurture, workspace)
+    decided, rows_read = _decide(raw, workspace)
+    return LeadRun(decided, score_parts(lead_rows(decided)), contact_now, nurture, workspace, rows_read)
 
 
 def run(
@@ -173,35 +210,67 @@ def run(
     multiline: bool | None = None,
     encoding: str = "UTF-8",
     workspace: Workspace | None = None,
+    origin: bool | None = None,
 ) -> LeadRun:
-    """Run on CSV files or on a DataFrame."""
+    """Run on CSV files or on a DataFrame.
+
+    ``origin`` says whether the excluded table ends in the file and the row's number in it; by default it does if there
+    is more than one input file.
+    """
     workspace = workspace or Workspace(spark)
     raw = source
     if not isinstance(source, DataFrame):
+        if origin is None:
+            origin = len(spark.read.text(source).inputFiles()) > 1
         raw = read_leads_csv(spark, source, multiline, encoding, workspace)
-        if raw.select("source_file").distinct().limit(2).count() < 2:
+        if not origin:
             raw = raw.drop("source_file", "file_row")
     return qualify(raw, contact_now, nurture, workspace)
 
 
 def write_outputs(result: LeadRun, output_path: str, excluded_path: str | None = None, fmt: str = "csv") -> None:
-    """Write the ranked and, if asked for, the excluded table, each as a folder of CSV or Parquet files."""
+    """Write the ranked and, if asked for, the excluded table, each as a folder of CSV or Parquet files.
+
+    Both are published together, and only if their rows add up to those that were read.
+    """
+    written: dict[str, Observation] = {}
+
+    def writer(name: str, df: DataFrame):
+        written[name] = Observation()
+        counted = df.observe(written[name], F.count(F.lit(1)).alias("rows"))
 
-    def write(df: DataFrame, path: str) -> None:
-        if fmt == "csv":
-            write_csv(df, path)
-        else:
-            df.write.mode("overwrite").format(fmt).save(path)
+        def write(path: str) -> None:
+            if fmt == "csv":
+                write_csv(counted, path)
+            else:
+                counted.write.mode("overwrite").format(fmt).save(path)
 
-    write(result.ranked(), output_path)
+        return write
+
+    def check() -> None:
+        if excluded_path:
+            check_total(result.rows_read, sum(seen.get["rows"] for seen in written.values()))
+
+    tables = [(output_path, writer("ranked", result.ranked()))]
     if excluded_path:
-        write(result.excluded(), excluded_path)
+        tables.append((excluded_path, writer("excluded", result.excluded())))
+    publish(result.parts.sparkSession, tables, check)
+
+
+def read_outputs(spark: SparkSession, output_path: str, excluded_path: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """The ranked and the excluded table of one run, also if the job that wrote them died while publishing."""
+    options = {"header": True, "escape": '"', "multiLine": True} if fmt == "csv" else {}
+    ranked, excluded = read_published(spark, [output_path, excluded_path], lambda p: spark.read.options(**options).format(fmt).load(p))
+    return ranked, excluded
 
 
 def summary_lines(result: LeadRun) -> list[str]:
     """The counts of a run as lines of text: a label from the fixed values and a number each."""
-    stats = result.stats().first()
-    totals = [(label, stats[name]) for name, label in rules.SUMMARY_LABELS.items()]
-    buckets = [(f"  {b}", stats["counts_by_recommendation"][b]) for b in rules.BUCKETS]
+    counts = result.counts
+    if not counts:
+        stats = result.stats().first()
+        counts = {**stats.asDict(), **stats["counts_by_recommendation"]}
+    totals = [(label, counts[name]) for name, label in rules.SUMMARY_LABELS.items()]
+    buckets = [(f"  {b}", counts[b]) for b in rules.BUCKETS]
     width = max(len(label) for label, _ in totals + buckets) + 2
     return [f"{label:<{width}}{n:>12,}" for label, n in totals + buckets]

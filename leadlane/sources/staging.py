@@ -11,7 +11,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """Hadoop path and its file system."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -42,19 +42,19 @@ def _file_system(spark: SparkSession, path: str):
 
 def path_bytes(spark: SparkSession, path: str) -> int | None:
     """Total size of a file, folder or glob; None if there is nothing."""
-    hadoop_path, files = _file_system(spark, path)
+    hadoop_path, files = file_system(spark, path)
     found = files.globStatus(hadoop_path)
     return sum(files.getContentSummary(f.getPath()).getLength() for f in found) if found else None
 
 
 def finished_folders(spark: SparkSession, pattern: str) -> list[str]:
     """Names of the folders of a glob that a Spark job has written to the end."""
-    hadoop_path, files = _file_system(spark, f"{pattern}/_SUCCESS")
+    hadoop_path, files = file_system(spark, f"{pattern}/_SUCCESS")
     return [f.getPath().getParent().getName() for f in files.globStatus(hadoop_path) or ()]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    hadoop_path, files = _file_system(spark, path)
+    hadoop_path, files = file_system(spark, path)
     files.delete(hadoop_path, True)
 
 
@@ -75,6 +75,12 @@ class Workspace:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stage_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The same with aggregates of the rows, which the write itself observes."""
+        seen = Observation()
+        staged = self.stage(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
+        return staged, seen.get
+
     def bytes_of(self, staged: DataFrame) -> int:
         """Size of the files of a staged table."""
         files = staged.inputFiles()
