@@ -5,9 +5,11 @@ smallest of its shingles under a random order, repeated shingles told apart by a
 in which they stand in the text. Nodes with a sketch in common share a bucket; of buckets with the same nodes one is
 kept. Within a bucket, a leader stands for the nodes that a lower bound of the edit distance lets pass; each such pair
 is aligned, and pairs whose similarity (1 - edits / longer length, in words) is high enough are links. That joins most
-of every class at a cost in proportion to its rows. Then all nodes of a bucket that the links so far leave in different
-classes are compared: every pair that the bound lets pass is aligned once. So the classes are those of comparing all
-pairs within all buckets. Buckets too large for one task are split by ranges of word counts that overlap by the
+of every class at a cost in proportion to its rows. Then the nodes of a bucket that the links so far leave in different
+classes are compared with each other: those that the bound lets match any other are marked, and only they go on, with
+their words. One task holds the marked nodes of a bucket, finds pairs by an index of the rarest words of each, aligns
+them and joins the classes as it finds links, so it sends out fewer links than it has nodes. So the classes are those of
+comparing all pairs within all buckets. Buckets too large for one task are split by ranges of word counts that overlap by the
 budget, and what is still too large into pairs of blocks, so no two rows that may match are kept apart. Classes are
 the connected components of the links.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from leadlane.llm.alignment import distance_within
 from leadlane.llm.common import list_parts, word_hashes, words_of
 from leadlane.llm.components import components
+from leadlane.operators.key_filter import blocks_for, key_filter, with_may_hold
 from leadlane.sources.staging import Workspace
 
 SHINGLE = 5
@@ -180,21 +184,100 @@ def _lead(similarity: float):
     return _by_group(of_group, ("node", "leader"))
 
 
-def _cross(similarity: float):
-    """All pairs of a group's rows that may match and have different roots."""
+def _mark(similarity: float):
+    """The rows of a group that the bag of words lets match a row of another root; each comes once."""
 
     def of_group(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        node, n, root = (rows.column(c).to_numpy() for c in ("node", "n", "root"))
+        part, node, n, root = (rows.column(c).to_numpy() for c in ("part", "node", "n", "root"))
         if (root == root[0]).all():
             return
-        bins = _bins_of(rows.column("bins"))
+        bins, marked = _bins_of(rows.column("bins")), np.zeros(len(node), bool)
         for k in range(len(node) - 1):
             other = np.flatnonzero(root[k + 1 :] != root[k]) + k + 1
             other = other[np.abs(n[other] - n[k]) <= (1 - similarity) * np.maximum(n[other], n[k]) + 1e-9]
-            for j in other[_may_match(n[other], bins[other], n[k], bins[k], similarity)].tolist():
-                yield int(max(node[k], node[j])), int(min(node[k], node[j]))
+            other = other[_may_match(n[other], bins[other], n[k], bins[k], similarity)]
+            marked[other] = True
+            marked[k] |= len(other) > 0
+        for k in np.flatnonzero(marked).tolist():
+            yield int(part[k]), int(node[k])
 
-    return _by_group(of_group, ("node", "leader"))
+    return _by_group(of_group, ("part", "node"))
+
+
+def _prefixes(tokens: list[np.ndarray], similarity: float) -> Iterator[list[int]]:
+    """Groups of rows that share one of their rarest words, such that rows that may match share a group.
+
+    Rows within b edits have all but b words of the longer one in common, so if the words of each are put in one order,
+    here by how rare they are in the group, the first b + 1 of both have one in common.
+    """
+    words, place, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(words), np.int64)
+    rarity[np.argsort(times, kind="stable")] = np.arange(len(words))
+    ends = np.cumsum([len(t) for t in tokens])
+    chosen, rows = [], []
+    for k, (end, token) in enumerate(zip(ends.tolist(), tokens)):
+        rank = np.sort(rarity[place[end - len(token) : end]])[: int((1 - similarity) * len(token) + 1e-9) + 1]
+        chosen.append(rank)
+        rows.append(np.full(len(rank), k))
+    rank, row = np.concatenate(chosen), np.concatenate(rows)
+    order = np.argsort(rank, kind="stable")
+    rank, row = rank[order], row[order]
+    edges = [0, *(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(rank)]
+    for a, b in zip(edges, edges[1:]):
+        if b - a > 1:
+            yield row[a:b].tolist()
+
+
+def _cross(similarity: float):
+    """Links between the rows of a group that have different roots; once two roots are linked, they count as one.
+
+    A pair is aligned in the smallest of the groups that both of its rows are in, and in no other.
+    """
+
+    def of_group(rows: pa.Table) -> Iterator[tuple[int, int, int]]:
+        part = rows.column("part")[0].as_py()
+        node, root = rows.column("node").to_pylist(), rows.column("root").to_pylist()
+        parts = [frozenset(p) for p in rows.column("parts").to_pylist()]
+        offsets, values = list_parts(rows.column("words").combine_chunks() if rows.num_rows else rows.column("words"))
+        words = [values[a:b].astype(np.int64).view(np.uint64) for a, b in zip(offsets, offsets[1:])]
+        tokens = [np.sort(shingles(w, 1)) for w in words]
+        parent = {r: r for r in root}
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        tried = set()
+        def similar(i: int, j: int) -> int | None:
+            longer = max(len(words[i]), len(words[j]))
+            budget = int((1 - similarity) * longer + 1e-9)
+            if abs(len(words[i]) - len(words[j])) > budget or min(parts[i] & parts[j]) != part:
+                return None
+            if longer - len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) > budget:
+                return None
+            return distance_within(words[i].tolist(), words[j].tolist(), budget)
+
+        for group in _prefixes(tokens, similarity):
+            classes: dict[int, list[int]] = {}
+            for i in group:
+                classes.setdefault(top(root[i]), []).append(i)
+            members = list(classes.values())
+            for at, some in enumerate(members):
+                for others in members[at + 1 :]:
+                    for i, j in product(some, others):
+                        low, high = sorted((top(root[i]), top(root[j])))
+                        if low == high:
+                            break
+                        if (i, j) in tried:
+                            continue
+                        tried.add((i, j))
+                        edits = similar(i, j)
+                        if edits is not None:
+                            parent[high] = low
+                            yield max(node[i], node[j]), min(node[i], node[j]), edits
+
+    return _by_group(of_group, ("node", "leader", "edits"))
 
 
 def _join_leaders(similarity: float):
@@ -229,9 +312,10 @@ class NearDuplicates:
         self.similarity = similarity
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.kind = rows.schema["doc_id"].dataType.simpleString()
-        self.rows = rows.withColumn("words", word_hashes(F.col("text"))).select("doc_id", "text", "words", *node_key("words"))
+        self.docs = rows
         stage = self.workspace.stage
-        described = self.rows.select("doc_id", "h1", "h2", "words").mapInArrow(
+        hashed = rows.select("doc_id", word_hashes(F.col("text")).alias("words")).select("doc_id", *node_key("words"), "words")
+        described = hashed.mapInArrow(
             _describe, f"doc_id {self.kind}, h1 long, h2 long, n long, bins binary, sketch array<long>"
         )
         self.members = stage(described, "described")
@@ -269,8 +353,32 @@ class NearDuplicates:
         rooted = rooted.join(stage(open_keys.select("key"), "open-buckets").hint("merge"), "key")
         small, large = rooted.filter(F.col("size") <= BUCKET_ROWS), rooted.filter(F.col("size") > BUCKET_ROWS)
         parts = small.withColumn("part", F.col("key")).unionAll(self._ranges(large, whole=True))
-        pairs = self._in_groups(parts, _cross, ["part", "node", "n", "bins", "root"])
-        return links.unionAll(self._verify(pairs.distinct()).filter("edits IS NOT NULL"))
+        marked = self._in_groups(parts, _mark, ["part", "node", "n", "bins", "root"], "part long, node long")
+        return links.unionAll(self._align_marked(stage(marked, "marked"), roots))
+
+    def _align_marked(self, marked: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between marked rows of a part, found in one task each that holds their words."""
+        stage = self.workspace.stage
+        if marked.isEmpty():
+            return self.nodes.sparkSession.createDataFrame([], "node long, leader long, edits long")
+        # A node has few sketches, so it is in few parts.
+        about = marked.groupBy("node").agg(F.sort_array(F.collect_set("part")).alias("parts")).join(roots.hint("merge"), "node", "left")
+        about = stage(about.select("node", "parts", F.coalesce("root", "node").alias("root")), "marked-nodes")
+        words = stage(self._rows_of(about.select("node")).select("node", "words").dropDuplicates(["node"]), "marked-words")
+        rows = marked.distinct().join(about.join(words.hint("merge"), "node").hint("merge"), "node")
+        return stage(self._in_groups(rows, _cross, ["part", "node", "root", "parts", "words"], "node long, leader long, edits long"), "crossed")
+
+    def _rows_of(self, nodes: DataFrame) -> DataFrame:
+        """``node, text, words`` of the document that stands for each of some nodes; only these rows are shuffled."""
+        stage = self.workspace.stage
+        wanted = stage(nodes.join(self.nodes.select("node", "h1", "h2", "doc_id"), "node"), "wanted")
+        id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        blocks = blocks_for(wanted.count())
+        held = stage(key_filter(wanted.select(id_key.alias("id_key")), "id_key", blocks), "wanted-ids")
+        rows = with_may_hold(self.docs, held, id_key, blocks, "may_be_wanted").filter("may_be_wanted")
+        rows = rows.withColumn("words", word_hashes(F.col("text"))).select("doc_id", "text", "words", *node_key("words"))
+        theirs = (rows["h1"] == wanted["h1"]) & (rows["h2"] == wanted["h2"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
+        return rows.join(wanted.hint("merge"), theirs).select("node", "text", "words")
 
     def _ranges(self, large: DataFrame, whole: bool) -> DataFrame:
         """Large buckets in parts that fit one task, as ``part``.
@@ -292,12 +400,12 @@ class NearDuplicates:
         part = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))
         return rows.withColumn("part", part).select(*large.columns, "part")
 
-    def _in_groups(self, parts: DataFrame, function, columns: list[str]) -> DataFrame:
-        """``node, leader`` that an Arrow function finds in each part."""
+    def _in_groups(self, parts: DataFrame, function, columns: list[str], schema: str = "node long, leader long") -> DataFrame:
+        """What an Arrow function finds in each part."""
         # With few orders of the nodes, most buckets of a class have the same leaders, so links are found once.
         order = F.xxhash64("node", F.pmod("part", F.lit(LEADER_ORDERS)))
         ordered = parts.select(*columns).repartition("part").sortWithinPartitions("part", order)
-        return ordered.mapInArrow(function(self.similarity), "node long, leader long")
+        return ordered.mapInArrow(function(self.similarity), schema)
 
     def _large(self, large: DataFrame) -> DataFrame:
         """Rows of large buckets that one leader each may match, by a join that can split the bucket."""
@@ -317,9 +425,7 @@ class NearDuplicates:
         stage = self.workspace.stage
         pairs = stage(pairs, "pairs")
         wanted = pairs.select("node").unionAll(pairs.select(F.col("leader").alias("node"))).distinct()
-        wanted = stage(wanted.join(self.nodes.select("node", "h1", "h2", "doc_id"), "node"), "wanted")
-        theirs = (self.rows["h1"] == wanted["h1"]) & (self.rows["h2"] == wanted["h2"]) & self.rows["doc_id"].eqNullSafe(wanted["doc_id"])
-        texts = self.rows.join(wanted.hint("merge"), theirs).select("node", F.concat_ws(" ", words_of(F.lower("text"))).alias("words"))
+        texts = self._rows_of(wanted).select("node", F.concat_ws(" ", words_of(F.lower("text"))).alias("words"))
         # Repeated rows of one document are the only copies left here.
         texts = stage(texts.dropDuplicates(["node"]), "texts")
         both = pairs.join(texts.withColumnRenamed("words", "words_a").hint("merge"), "node")
