@@ -26,11 +26,15 @@ IRREGULAR = rf"^ | $|{_WHITE} |\x01"
 #: Put in front of a run of stops to mark that no space stood there; texts that hold it are encoded whole.
 _MARK = "\x01"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-#: Segments a worker remembers; beyond that it starts anew.
-CACHE_SEGMENTS = 400_000
-#: Segments given to the tokenizer at once.
-BATCH_SEGMENTS = 8_000
+#: Stands for a space in sentencepiece models, where it may join the spaces beside it.
+_SPACE_PIECE = "▁"
+
+#: Segments a worker remembers; beyond that it forgets those that came only once since it last did.
+CACHE_SEGMENTS = 500_000
+#: Texts given to the tokenizer at once.
+BATCH_TEXTS = 1_000
+#: Segments that make one text for the tokenizer.
+JOINED_SEGMENTS = 24
 #: Longer segments are encoded each time they come.
 CACHE_CHARS = 48
 #: Characters after which a text that has to be encoded whole is cut at the next safe place.
@@ -44,16 +48,31 @@ def _view(numbers: array, kind) -> np.ndarray:
 class SegmentEncoder:
     """``encode_many``: ids of texts; ``lead``: what stands before every segment but the first of a text.
 
-    ``stops_apart`` says that a run of full stops and commas after ASCII letters makes tokens of its own.
+    ``stops_apart`` says that a run of full stops and commas after ASCII letters makes tokens of its own. Texts that match
+    ``irregular`` are encoded whole, cut at ``safe_cut`` if they are long. ``encode_segments`` is a faster form of
+    ``encode_many`` for segments, if there is one.
     """
 
-    def __init__(self, encode_many, lead: str, stops_apart: bool):
+    def __init__(self, encode_many, lead: str, stops_apart: bool, irregular: str = IRREGULAR, safe_cut: re.Pattern = _SAFE_CUT, encode_segments=None):
         self.encode_many, self.lead, self.stops_apart = encode_many, lead, stops_apart
-        self._reset()
-
-    def _reset(self) -> None:
+        self.irregular, self.safe_cut = irregular, safe_cut
+        self.encode_segments = encode_segments or encode_many
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.flat = array("q"), array("q"), array("I")
+        self.again = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keep only segments that were met again; their ids move together."""
+        again = np.zeros(len(self.starts), bool)
+        again[: len(self.again)] = self.again
+        kept = [(k, at) for k, at in self.place.items() if again[at]]
+        at = np.fromiter((at for _, at in kept), np.int64, len(kept))
+        starts, sizes = _view(self.starts, np.int64)[at], _view(self.lengths, np.int64)[at]
+        begins = np.cumsum(sizes) - sizes
+        ids = _view(self.flat, np.uint32)[np.repeat(starts - begins, sizes) + np.arange(sizes.sum())]
+        self.place = {k: i for i, (k, _) in enumerate(kept)}
+        self.starts, self.lengths, self.flat = array("q", begins.tobytes()), array("q", sizes.tobytes()), array("I", ids.tobytes())
+        self.again = np.zeros(len(kept), bool)
 
     def _add(self, ids: list[list[int]]) -> range:
         """Keep ids; returns where."""
@@ -68,15 +87,19 @@ class SegmentEncoder:
         """Where the ids of each key are kept, after encoding those not met before."""
         place = self.place
         missing = [k for k in dict.fromkeys(keys) if k not in place]
-        new = dict(zip(missing, self._add(self.encode_many(missing)))) if missing else {}
+        known = len(self.starts)
+        new = dict(zip(missing, self._add(self.encode_segments(missing)))) if missing else {}
         found = np.fromiter((place[k] if k in place else new[k] for k in keys), np.int64, len(keys))
+        if len(self.again) < known:
+            self.again = np.concatenate([self.again, np.zeros(known - len(self.again), bool)])
+        self.again[found[found < known]] = True
         place.update((k, at) for k, at in new.items() if len(k) <= CACHE_CHARS)
         return found
 
     def _whole(self, text: str) -> list[int]:
         """Ids of one text, encoded in long pieces."""
         pieces, start = [], 0
-        while len(text) - start > WHOLE_CHARS and (cut := _SAFE_CUT.search(text, start + WHOLE_CHARS)):
+        while len(text) - start > WHOLE_CHARS and (cut := self.safe_cut.search(text, start + WHOLE_CHARS)):
             pieces.append(text[start : cut.start()])
             start = cut.start() + (not self.lead)
         pieces.append(text[start:])
@@ -84,10 +107,13 @@ class SegmentEncoder:
 
     def encode(self, texts: pa.Array, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Number of ids of each text, and all ids in order. Null texts are empty."""
-        if len(self.place) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
-            self._reset()
+        if len(self.starts) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
+            self._forget()
+            if len(self.starts) > CACHE_SEGMENTS // 2:
+                self.again[:] = False
+                self._forget()
         texts = pc.fill_null(texts, "")
-        irregular = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
+        irregular = pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False)
         empty = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
         regular = ~irregular & ~empty
         plain = texts.filter(pa.array(regular))
@@ -139,20 +165,47 @@ def encoder(name: str) -> SegmentEncoder:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        space = "▁"
-        crossing = [i for i in range(model.get_piece_size()) if space in model.id_to_piece(i).lstrip(space)]
+        crossing = [i for i in range(model.get_piece_size()) if _SPACE_PIECE in model.id_to_piece(i).lstrip(_SPACE_PIECE)]
         if crossing or model.encode("a a", out_type=str)[1:] != model.encode("a", out_type=str):
             raise ValueError(f"{name} has tokens that reach across spaces; its texts cannot be cut there")
-        return SegmentEncoder(lambda texts: model.encode(texts, num_threads=1), "", stops_apart=False)
+        irregular, safe_cut = rf"{IRREGULAR}|{_SPACE_PIECE}", re.compile(rf"(?<=[^\s{_SPACE_PIECE}]) (?=[^\s{_SPACE_PIECE}])")
+        return SegmentEncoder(lambda texts: model.encode(texts, num_threads=1), "", False, irregular, safe_cut)
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
 
     def encode_many(texts: list[str]) -> list[list[int]]:
         # The library's results are large objects, so only some are alive at a time.
-        parts = (texts[i : i + BATCH_SEGMENTS] for i in range(0, len(texts), BATCH_SEGMENTS))
+        parts = (texts[i : i + BATCH_TEXTS] for i in range(0, len(texts), BATCH_TEXTS))
         return [e.ids for part in parts for e in model.encode_batch_fast(part, add_special_tokens=False)]
 
     # Where white space is dropped, a leading space changes nothing and segments need none.
     lead = " " if encode_many([" "])[0] else ""
-    return SegmentEncoder(encode_many, lead, stops_apart=True)
+    return SegmentEncoder(encode_many, lead, stops_apart=True, encode_segments=_joined(encode_many, lead))
+
+
+def _joined(encode_many, lead: str):
+    """Encode segments several to a text, with a mark between them that is a token of its own and occurs in none."""
+    between = f" {_MARK}{lead or ' '}"
+    *front, mark = encode_many([f" {_MARK}"])[0]
+
+    def encode_segments(segments: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(segments)
+        # White space or a special token at an end of a segment might take in the space of the mark, and a segment
+        # without the space in front might join with the mark.
+        plain = [i for i, s in enumerate(segments) if s.startswith(lead) and len(s.split()) == 1 and "<|" not in s]
+        joined = [plain[i : i + JOINED_SEGMENTS] for i in range(0, len(plain), JOINED_SEGMENTS)]
+        texts = [lead + between.join([segments[i][len(lead) :] for i in group]) for group in joined]
+        for group, ids in zip(joined, encode_many(texts)):
+            at = 0
+            for i in group[:-1]:
+                end = ids.index(mark, at)
+                out[i] = ids[at : end - len(front)]
+                at = end + 1
+            out[group[-1]] = ids[at:]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, encode_many([segments[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    return encode_segments

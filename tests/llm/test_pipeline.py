@@ -5,7 +5,7 @@ from collections import Counter
 
 import brute
 import numpy as np
-from test_line_chunks import plain as plain_chunks
+from test_line_chunks import plain_with_runs
 
 import corpus_pipeline
 from leadlane.llm import decontaminate, packing, quality
@@ -54,7 +54,7 @@ def test_agrees_with_a_plain_version(spark):
     verdicts = brute.quality_rows(docs, table("labels", "doc_id", "quality", "toxic"), quality.BUCKETS, quality.SPREADS)
     kept = {r["doc_id"] for r in verdicts if r["kept"]}
     docs = [d for d in docs if d[0] in kept]
-    docs = [d for d in plain_chunks(docs) if d[1].strip()]
+    docs = [d for d in plain_with_runs(docs) if d[1].strip()]
     first = first_of_classes(docs)
     docs = [d for d in docs if d[0] in first]
     docs = without_passages(docs, table("benchmark", "item_id", "text"))

@@ -35,8 +35,9 @@ def direct(name):
 
 def mixed_texts():
     rng = random.Random(12)
-    bits = ["a", "B", "word", "été", ".", ",", " ", "  ", "\n", "'s", "1", "-", " ", "́", "é", "…", "\x01", "日", "\t"]
-    return ODD + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    bits = ["a", "B", "word", "été", ".", ",", " ", "  ", "\n", "'s", "1", "-", " ", "́", "é", "…", "\x01", "日", "\t", "▁", "▂", "\u00a0", "ﬁ", "<|endoftext|>", "İ"]
+    odd_spaces = ["a▁ 日", "bar ▁ ▂ ▃", "▁▂▃ ▁ ▁ ▅", "▁", " ▁", "▁ " * 300, "some words▁ here " * 90]
+    return ODD + odd_spaces + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
