@@ -29,7 +29,7 @@ _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Stands for a space in sentencepiece models, where it may join the spaces beside it.
 _SPACE_PIECE = "▁"
 
-#: Segments a worker remembers; beyond that it forgets those that came only once since it last did.
+#: Segments a worker remembers; beyond that it forgets those that came only once since it last did, and newer ones.
 CACHE_SEGMENTS = 500_000
 #: Texts given to the tokenizer at once.
 BATCH_TEXTS = 1_000
@@ -62,10 +62,10 @@ class SegmentEncoder:
         self.again = np.zeros(0, bool)
 
     def _forget(self) -> None:
-        """Keep only segments that were met again; their ids move together."""
+        """Keep only segments that were met again, the oldest if they are many; their ids move together."""
         again = np.zeros(len(self.starts), bool)
         again[: len(self.again)] = self.again
-        kept = [(k, at) for k, at in self.place.items() if again[at]]
+        kept = [(k, at) for k, at in self.place.items() if again[at]][: CACHE_SEGMENTS // 2]
         at = np.fromiter((at for _, at in kept), np.int64, len(kept))
         starts, sizes = _view(self.starts, np.int64)[at], _view(self.lengths, np.int64)[at]
         begins = np.cumsum(sizes) - sizes
@@ -109,9 +109,6 @@ class SegmentEncoder:
         """Number of ids of each text, and all ids in order. Null texts are empty."""
         if len(self.starts) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
             self._forget()
-            if len(self.starts) > CACHE_SEGMENTS // 2:
-                self.again[:] = False
-                self._forget()
         texts = pc.fill_null(texts, "")
         irregular = pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False)
         empty = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
