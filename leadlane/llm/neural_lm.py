@@ -35,9 +35,8 @@ UNITS = WORDS + FREQUENT + ENDINGS
 START = UNITS
 CONTEXT = 4
 DIMENSIONS = 16
-#: Each round trains on one position in so many, a different one each round, in all training texts.
+#: Each round trains on one position in so many of all training texts, so that together they train on every position once.
 ROUNDS = 2
-STRIDE = 12
 BATCH = 2048
 NOISE = 32
 RATE = 0.2
@@ -172,10 +171,11 @@ def contexts_of(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _one_hot(ids: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((size, len(ids)), np.float32)
-    out[ids, np.arange(len(ids))] = 1
-    return out
+def _sum_by_id(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The rows of ``values`` added up per id."""
+    width = values.shape[1]
+    cells = ids[:, None] * width + np.arange(width)
+    return np.bincount(cells.ravel(), values.ravel(), size * width).reshape(size, width)
 
 
 class Trainer:
@@ -199,15 +199,14 @@ class Trainer:
         down = -1 / (1 + np.exp(np.clip(-of_noise, -30, 30)))
         to_q = up[:, None] * chosen + down @ p.next[noise]
         gradient = Parameters(np.zeros_like(p.flat))
-        hot = _one_hot(targets, UNITS)
-        gradient.next[:] = hot @ (up[:, None] * q)
-        gradient.bias[:] = hot @ up
+        gradient.next[:] = _sum_by_id(targets, up[:, None] * q, UNITS)
+        gradient.bias[:] = np.bincount(targets, up, UNITS)
         np.add.at(gradient.next, noise, down.T @ q)
         np.add.at(gradient.bias, noise, down.sum(axis=0))
         for k in range(CONTEXT):
-            seen = p.seen[contexts[:, k]]
-            gradient.places[k] = (to_q * seen).sum(axis=0)
-            gradient.seen[:] += _one_hot(contexts[:, k], UNITS + 1) @ (to_q * p.places[k])
+            by_unit = _sum_by_id(contexts[:, k], to_q, UNITS + 1).astype(np.float32)
+            gradient.places[k] = (by_unit * p.seen).sum(axis=0)
+            gradient.seen[:] += by_unit * p.places[k]
         g = gradient.flat / n
         self.squares += g * g
         p.flat += RATE * g / np.sqrt(self.squares)
@@ -363,7 +362,7 @@ class LanguageModel:
             for part in slices(batches, "units", 1 << 20):
                 units, starts = _sequences(part)
                 plain = (units & ~np.uint16(AS_UNKNOWN)).astype(np.int32)
-                at = np.arange(number * STRIDE // ROUNDS, len(units), STRIDE)
+                at = np.arange(number, len(units), ROUNDS)
                 contexts.append(contexts_of(plain, starts)[at])
                 targets.append(np.where(units[at] & AS_UNKNOWN, UNKNOWN, plain[at]))
                 n += len(at)
