@@ -1,17 +1,18 @@
 """Benchmark passages in documents: q-gram lemma filtering in diagonal bands, then banded alignment.
 
 Texts are lower-cased and everything but letters and digits becomes one space. A benchmark item is a row of
-overlapping windows; a document holds the item if it holds a window with at most ``errors`` of its bytes edited.
-A window of m bytes found with e edits shares at least m + 1 - q(e + 1) q-grams with the document, all within e
-diagonals. So the shared q-grams are counted per window in bands of diagonals that overlap by more than e; only bands
-that reach the bound are aligned. Nothing that meets the budget is missed.
+windows that start every few bytes; a document holds the item if it holds a window with at most ``errors`` of its
+bytes edited. A window of m bytes found with e edits shares at least m + 1 - q(e + 1) q-grams with the document, all
+within e diagonals. So the shared q-grams are listed per item in bands of diagonals that overlap by more than e, the
+windows are counted on these lists, and only those that reach the bound are aligned. Nothing that meets the budget is
+missed. Short items count only as a whole, letter for letter, between word boundaries.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from leadlane.llm.common import slices
 
 Q = 8
 WINDOW = 120
+#: Bytes from one window's start to the next, so an excerpt with as many bytes less one beyond a window holds one.
+STEP = 5
 ERRORS = 0.1
-#: Items with fewer bytes after normalisation identify no text.
+#: Items with fewer bytes after normalisation are found only letter for letter.
 LEAST_BYTES = 48
 #: Benchmark text that is searched for in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 4 << 20
@@ -59,28 +62,44 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Windows:
-    """Windows of the items of one block and an index of their q-grams."""
+    """Windows of the items of one block and an index of the items' q-grams.
+
+    Items of one and a half windows or less are also a window as a whole. Short items are one window without a budget,
+    with a space at both ends; those too short for a q-gram are held only by a text that is nothing else.
+    """
 
     items: list
     window: int = WINDOW
     errors: float = ERRORS
-    item_of: list = field(default_factory=list)
-    texts: list = field(default_factory=list)
 
     def __post_init__(self):
+        self.parts, self.part_items, self.equal = [], [], {}
+        spans = []
         for item, text in self.items:
-            if len(text) < LEAST_BYTES:
+            n, short = len(text), len(text) < LEAST_BYTES
+            if not n:
                 continue
-            step = self.window // 2
-            size = len(text) if len(text) < self.window + step else self.window
-            for start in sorted({*range(0, len(text) - size + 1, step), len(text) - size}):
-                self.item_of.append(item)
-                self.texts.append(text[start : start + size])
-        self.budgets = np.array([min(int(self.errors * len(t)), (len(t) - Q) // Q) for t in self.texts], np.int64)
-        sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.bounds = sizes + 1 - Q * (self.budgets + 1)
+            if n + 2 < Q:
+                self.equal.setdefault(text, []).append(len(spans))
+            part, size = len(self.parts), min(n, self.window)
+            self.parts.append(b" " + text + b" " if short else text)
+            self.part_items.append(item)
+            if short or n <= self.window * 3 // 2:
+                spans.append((part, 0, n + 2 * short, 0 if short else min(int(self.errors * n), (n - Q) // Q)))
+            if not short and n > self.window:
+                budget = min(int(self.errors * size), (size - Q) // Q)
+                spans += [(part, start, size, budget) for start in sorted({*range(0, n - size + 1, STEP), n - size})]
+        spans = np.array(spans, np.int64).reshape(-1, 4)
+        self.part_of, self.starts, self.sizes, self.budgets = spans.T.copy()
+        self.bounds = self.sizes + 1 - Q * (self.budgets + 1)
         self.band = int(self.budgets.max(initial=0)) + 1
-        codes = [_qgrams(t) for t in self.texts]
+        self.first_window = np.searchsorted(self.part_of, np.arange(len(self.parts) + 1))
+        heads = self.first_window[:-1]
+        self.least = np.maximum(np.minimum.reduceat(self.bounds, heads), 1) if len(heads) else heads
+        self.reach = np.maximum.reduceat(self.sizes, heads) - Q if len(heads) else heads
+        #: More than any place in an item and than a band on either side.
+        self.span = max(map(len, self.parts), default=0) + 2 * self.band
+        codes = [_qgrams(t) for t in self.parts]
         of = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         at = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
@@ -91,11 +110,24 @@ class Windows:
         self.filter = np.zeros(1 << _HASH_BITS, bool)
         self.filter[_places(self.codes)] = True
 
-    def candidates(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and bands of diagonals (in units of ``band``) that reach their q-gram bound."""
+    @property
+    def item_of(self) -> list:
+        """The item of every window."""
+        return [self.part_items[k] for k in self.part_of.tolist()]
+
+    @property
+    def texts(self) -> list[bytes]:
+        return [self.text(k) for k in range(len(self.starts))]
+
+    def text(self, k: int) -> bytes:
+        start = self.starts[k]
+        return self.parts[self.part_of[k]][start : start + self.sizes[k]]
+
+    def candidates(self, data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        """The first diagonal, from the item's start, of every band in which windows reach their bounds, and these."""
         codes = _qgrams(data)
         if not len(codes) or not len(self.codes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         hit = np.flatnonzero(self.filter[_places(codes)])
         entry = np.searchsorted(self.codes, codes[hit])
         entry = np.minimum(entry, len(self.codes) - 1)
@@ -104,37 +136,68 @@ class Windows:
         counts = self.first[entry + 1] - self.first[entry]
         total = np.cumsum(counts)
         posting = np.repeat(self.first[entry] - total + counts, counts) + np.arange(counts.sum())
-        window, at = self.of[posting], self.at[posting]
-        block = (np.repeat(hit, counts) - at + self.window * 2) // self.band
-        # A q-gram of the window counts once per band, however often the text repeats it. Every hit lies in two
+        part, at = self.of[posting], self.at[posting]
+        block = (np.repeat(hit, counts) - at + self.span) // self.band
+        # A q-gram of the item counts once per band, however often the text repeats it. Every hit lies in two
         # bands: the one that starts at its block, and the one before.
-        width = len(data) // self.band + 2 * self.window + 4
-        key = (window * width + block) * (2 * self.window) + at
-        key, _ = _distinct(np.concatenate([key, key - 2 * self.window]))
-        key, n = _distinct(key // (2 * self.window))
-        window, block = key // width, key % width
-        good = n >= self.bounds[window]
-        return window[good], block[good] * self.band - self.window * 2
+        width = (len(data) + self.span) // self.band + 2
+        key = (part * width + block) * self.span + at
+        key, _ = _distinct(np.concatenate([key, key - self.span]))
+        if not len(key):
+            return
+        group, at = key // self.span, key % self.span
+        # Somewhere in a good band, as many q-grams as the item's lowest bound lie within its longest window.
+        last = np.arange(len(key)) + self.least[group // width] - 1
+        end = np.minimum(last, len(key) - 1)
+        good = (last == end) & (group[end] == group) & (at[end] - at <= self.reach[group // width])
+        for g in np.unique(group[good]).tolist():
+            a, b = np.searchsorted(group, [g, g + 1])
+            low, high = self.first_window[g // width], self.first_window[g // width + 1]
+            starts, shared = self.starts[low:high], at[a:b]
+            n = np.searchsorted(shared, starts + self.sizes[low:high] - Q, "right") - np.searchsorted(shared, starts)
+            yield (g % width) * self.band - self.span, low + np.flatnonzero(n >= self.bounds[low:high])
 
     def search(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """(window, first byte, end, edits) of the best match in every band that holds one within the budget."""
+        """(window, first byte, end, edits) of the best match of windows in every band that holds some.
+
+        After a match, the next window tried starts half a window on, or is the item's last.
+        """
         found = []
-        for k, diagonal in zip(*(x.tolist() for x in self.candidates(data))):
-            text, budget = self.texts[k], int(self.budgets[k])
-            begin = max(diagonal - budget, 0)
-            region = data[begin : diagonal + 2 * self.band + len(text) + budget]
-            if best := best_within(text, region, budget):
-                edits, end = best
-                back = best_within(text[::-1], region[:end][::-1], edits)
-                found.append((k, begin + end - back[1], begin + end, edits))
+        for diagonal, windows in self.candidates(data):
+            onward = 0
+            for k in windows.tolist():
+                start, budget = int(self.starts[k]), int(self.budgets[k])
+                if start < onward and k != windows[-1]:
+                    continue
+                text, first = self.text(k), diagonal + start
+                begin = max(first - budget, 0)
+                region = data[begin : max(first + 2 * self.band + len(text) + budget, 0)]
+                if best := best_within(text, region, budget):
+                    edits, end = best
+                    back = best_within(text[::-1], region[:end][::-1], edits)
+                    found.append((k, begin + end - back[1], begin + end, edits))
+                    onward = start + len(text) // 2
         return found
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, window, first byte, end, edits) of the matches in a batch of texts, searched as one."""
-        begins = np.cumsum([0, *(len(t) + len(_GAP) for t in texts)])
-        for k, a, b, edits in self.search(_GAP.join(texts)):
-            row = int(np.searchsorted(begins, a, "right")) - 1
-            yield row, k, int(a - begins[row]), int(b - begins[row]), edits
+        begins = np.cumsum([1, *(len(t) + len(_GAP) + 2 for t in texts)])
+        for k, a, b, edits in self.search(_GAP.join(b" " + t + b" " for t in texts)):
+            row = max(int(np.searchsorted(begins, a + 1, "right")) - 1, 0)
+            a, b, text = int(a - begins[row]), int(b - begins[row]), texts[row]
+            budget = int(self.budgets[k])
+            if self.parts[self.part_of[k]][:1] == b" ":  # the boundaries of a short item are no part of it either
+                a, b = a + 1, b - 1
+            elif budget and (a < 0 or b > len(text)):  # the spaces around a text are no part of it
+                begin = max(a - budget, 0)
+                best = best_within(self.text(k), text[begin : b + budget], budget)
+                if not best:
+                    continue
+                edits, a, b = best[0], max(a, 0), begin + best[1]
+            yield row, k, max(a, 0), min(b, len(text)), edits
+        for row, text in enumerate(texts if self.equal else ()):
+            for k in self.equal.get(text, ()):
+                yield row, k, 0, len(text), 0
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
@@ -160,11 +223,13 @@ def find_passages(
 ) -> DataFrame:
     """``doc_id, item_id, n_windows, edits, start, end`` for every row of ``docs`` that holds part of an item.
 
-    ``n_windows`` distinct windows of the item were found, the best with ``edits`` edits; ``start`` and ``end``
-    enclose all matches, in bytes of the normalised text. The benchmark is read in blocks of bounded size, each
-    searched for in one pass over whole texts without a shuffle. Null and empty texts hold nothing, and items below
-    ``LEAST_BYTES`` are in nothing. Equal document rows give equal result rows; equal items are told apart by their
-    id only; null ids stay null. Other columns are not read. Empty tables give an empty result.
+    ``n_windows`` distinct windows of the item were found, at least half a window apart, the best with ``edits`` edits;
+    ``start`` and ``end`` enclose all matches, in bytes of the normalised text. The benchmark is read in blocks of
+    bounded size, each searched for in one pass over whole texts without a shuffle. Null and empty texts hold nothing.
+    Items below ``LEAST_BYTES`` are found letter for letter between word boundaries, those below six bytes only if they
+    are all of the text; null and empty items and those of punctuation only are in nothing. Equal document rows give
+    equal result rows; equal items are told apart by their id only; null ids stay null. Other columns are not read.
+    Empty tables give an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = (rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
@@ -173,11 +238,12 @@ def find_passages(
     def searcher(items: list):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(items, window, errors)
+            item_of = windows.item_of
             for part in slices(batches, "text", SLICE_BYTES):
                 texts = [normalise(t) for t in part.column("text").to_pylist()]
                 found: dict = {}
                 for row, k, a, b, edits in windows.matches(texts):
-                    found.setdefault((row, windows.item_of[k]), []).append((k, a, b, edits))
+                    found.setdefault((row, item_of[k]), []).append((k, a, b, edits))
                 keys = sorted(found, key=lambda key: (key[0], str(key[1])))
                 matches = [found[key] for key in keys]
                 yield pa.RecordBatch.from_arrays(

@@ -47,7 +47,9 @@ def test_agrees_with_aligning_everything(spark):
     windows = d.Windows([(i, d.normalise(t)) for i, t in items])
     for doc, text in docs:
         for item, pattern, budget in zip(windows.item_of, windows.texts, windows.budgets):
-            if smallest_distance(pattern, d.normalise(text)) <= budget:
+            # Short items count as a whole between word boundaries, and a text's ends are such boundaries.
+            whole = b" " + d.normalise(text) + b" " if pattern[:1] == b" " else d.normalise(text)
+            if smallest_distance(pattern, whole) <= budget:
                 expected.add((doc, item))
     table = spark.createDataFrame(docs, DOCS).selectExpr("*", "7 AS item_id", "1 AS edits")
     found = d.find_passages(table, spark.createDataFrame(items, ITEMS)).collect()
@@ -87,3 +89,22 @@ def test_a_very_long_text(spark):
     out = d.find_passages(spark.createDataFrame([(1, text)], DOCS), spark.createDataFrame([(5, item)], ITEMS)).collect()
     assert [(r["doc_id"], r["item_id"], r["edits"]) for r in out] == [(1, 5, 0)]
     assert d.normalise(text)[out[0]["start"] : out[0]["end"]] == d.normalise(item)
+
+
+def test_short_items_and_short_excerpts(spark):
+    rng = random.Random(4)
+    long = words(rng, 200)
+    items = [(0, "Which planet has rings, and which has no moon?"), (1, "a-b"), (2, long), (3, "***"), (4, "")]
+    whole = d.normalise(items[0][1]).decode()
+    docs = [(0, items[0][1]), (1, f"{words(rng, 9)} {whole.upper()}! {words(rng, 9)}"), (2, f"x{whole} y"), (3, whole.replace("rings", "ring"))]
+    docs += [(4, "A b."), (5, "a b c"), (6, "..."), (7, "")]
+    places = [rng.randrange(len(long) - 124) for _ in range(40)]
+    docs += [(100 + n, f"{words(rng, 5)} #{long[at : at + 124]}# {words(rng, 5)}") for n, at in enumerate(places)]
+    out = d.find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in out}
+    assert found == {(0, 0), (1, 0), (4, 1)} | {(100 + n, 2) for n in range(40)}
+    for r in out:
+        if r["item_id"] == 0:
+            assert d.normalise(docs[r["doc_id"]][1])[r["start"] : r["end"]].decode() == whole
+    left = d.clean_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted(r["doc_id"] for r in left) == [2, 3, 5, 6, 7]
