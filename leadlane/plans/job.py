@@ -6,12 +6,15 @@ Each option falls back to an environment variable and then to a fixed value.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import os
 import sys
 from collections.abc import Callable
+from importlib import resources
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from leadlane import rules
 from leadlane.plans.qualify import run, summary_lines, write_outputs
@@ -80,6 +83,7 @@ SETTINGS = {
 SWITCHES = {
     "single_line": "no quoted cell contains a line break, so do not look for them",
     "quiet": "print no summary",
+    "resume": "keep intermediate tables if the job fails, and go on from those of the last one with this input, code and settings",
 }
 
 
@@ -109,6 +113,25 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     return args
 
 
+def fingerprint(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Stands for all that intermediate tables depend on: the input files, the code, the settings and the session.
+
+    Input files are told by path, size and time of change; Spark lists them, and nothing of their content is read.
+    """
+    files = spark.read.format("binaryFile").load(args.input_csv).select("path", "length", "modificationTime")
+    hashed = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    seen = files.agg(F.count("*"), F.sum(hashed)).first()
+    package = resources.files("leadlane")  # a folder, or inside an archive
+    folders = [package, *(package.joinpath(name) for name in ("functions", "operators", "plans", "sources"))]
+    modules = [m for folder in folders for m in sorted(folder.iterdir(), key=lambda m: m.name) if m.name.endswith(".py")]
+    settings = [args.contact_now_threshold, args.nurture_threshold, args.encoding, args.single_line]
+    session = [spark.version, *(spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"))]
+    digest = hashlib.sha256(repr([args.input_csv, *seen, *settings, *session]).encode())
+    for module in modules:
+        digest.update(hashlib.sha256(module.read_bytes()).digest())
+    return digest.hexdigest()[:32]
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parse_args(argv)
     spark = SparkSession.builder.appName("leadlane").config(map=SESSION_SETTINGS).getOrCreate()
@@ -117,7 +140,7 @@ def main(argv: list[str] | None = None) -> int:
         args.fail(f"nothing at {args.input_csv}")
     size_shuffles(spark, input_bytes)
     thresholds = (args.contact_now_threshold, args.nurture_threshold)
-    with Workspace(spark) as workspace:
+    with Workspace(spark, fingerprint(spark, args) if args.resume else None) as workspace:
         multiline = False if args.single_line else None
         result = run(spark, args.input_csv, *thresholds, multiline, args.encoding, workspace).materialize()
         write_outputs(result, args.output, args.excluded_output, args.format)

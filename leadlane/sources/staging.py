@@ -59,27 +59,53 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 class Workspace:
-    """A sub-folder of the shared folder for the intermediate tables of one run."""
+    """A sub-folder of the shared folder for the intermediate tables of one run.
 
-    def __init__(self, spark: SparkSession):
+    With a ``key``, which stands for all that the tables depend on, an interrupted run leaves its tables, and the next
+    one with that key reads those that were written to the end instead of writing them again, up to the first that was
+    not. Only one run with a key may be at work at a time.
+    """
+
+    def __init__(self, spark: SparkSession, key: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/leadlane-{uuid.uuid4().hex}"
+        self.key = key
+        self.root = f"{shared_dir(spark)}/leadlane-{key or uuid.uuid4().hex}"
         self._tables = 0
-        atexit.register(self._clear_at_exit)
+        self._resuming = key is not None
+        if key is None:
+            atexit.register(self._clear_at_exit)
+
+    def _next_path(self, name: str) -> str:
+        self._tables += 1
+        return f"{self.root}/{self._tables:02d}-{name}"
+
+    def _has(self, path: str) -> bool:
+        """Whether an earlier run has written this table; after the first that it has not, later ones do not count."""
+        self._resuming = self._resuming and bool(finished_folders(self.spark, path))
+        return self._resuming
 
     def stage(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write a table and return it as a scan of what was written."""
-        self._tables += 1
-        path = f"{self.root}/{self._tables:02d}-{name}"
-        writer = df.write.partitionBy(partition_by) if partition_by else df.write
-        writer.parquet(path)
+        path = self._next_path(name)
+        if not self._has(path):
+            writer = df.write.partitionBy(partition_by) if partition_by else df.write
+            writer.mode("overwrite" if self.key else "errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def stage_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
         """The same with aggregates of the rows, which the write itself observes."""
         seen = Observation()
-        staged = self.stage(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
-        return staged, seen.get
+        counted = df.observe(seen, *[c.alias(n) for n, c in counts.items()])
+        if not self.key:
+            return self.stage(counted, name), seen.get
+        # The counts are written after the table, so a table without its counts is not finished.
+        path = self._next_path(name)
+        if not self._has(f"{path}-counts"):
+            counted.write.mode("overwrite").parquet(path)
+            rows = self.spark.createDataFrame([*seen.get.items()], "name string, n long")
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{path}-counts")
+        found = self.spark.read.schema("name string, n long").parquet(f"{path}-counts").collect()  # one row per counter
+        return self.spark.read.schema(df.schema).parquet(path), {r["name"]: r["n"] for r in found}
 
     def bytes_of(self, staged: DataFrame) -> int:
         """Size of the files of a staged table."""
@@ -89,8 +115,9 @@ class Workspace:
     def __enter__(self) -> Workspace:
         return self
 
-    def __exit__(self, *_) -> None:
-        self.clear()
+    def __exit__(self, error: type | None, *_) -> None:
+        if error is None or not self.key:
+            self.clear()
 
     def clear(self) -> None:
         """Delete the tables of this run; DataFrames that read them can no longer be used."""
