@@ -36,6 +36,16 @@ def one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+#: Up to this many files each have a task of their own; beyond, tasks hold about so many bytes of files.
+FEW_FILES = 4096
+TASK_BYTES = 2 << 30
+
+
+def file_tasks(n_files: int, n_bytes: int) -> int:
+    """Tasks that read a number of files with a number of bytes in all; each file is read by one task."""
+    return max(min(n_files, max(FEW_FILES, -(-n_bytes // TASK_BYTES))), 1)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null, empty or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

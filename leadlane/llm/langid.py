@@ -102,7 +102,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled rows, as many of each language, chosen by hash; never more than twice that many."""
+    """About ``rows`` labelled rows, as many of each language, chosen by hash; never more than twice that many.
+
+    With more than ``rows`` languages only the most frequent ``rows`` have a share and can be learned.
+    """
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows)
     langs = counts.collect()  # at most one short row per sampled row
     each = rows / max(len(langs), 1)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadlane.llm.common import SLICE_BYTES, slices
+from leadlane.llm.common import SLICE_BYTES, file_tasks, slices
 from leadlane.llm.remote import file_system
 from leadlane.llm.segments import encoder
 from leadlane.sources.staging import Workspace
@@ -133,7 +133,8 @@ class TokenFiles:
         """``doc_id, start, n_tokens, ids`` from the files, for all documents or those with an id in ``wanted``.
 
         ``ids`` are little-endian unsigned 32-bit numbers. Documents keep the order of their file within a task, and
-        a task reads a frame once. A frame that fails its checksum is an error.
+        a task reads a frame once. A frame that fails its checksum is an error. Thousands of files have a task each; more
+        are dealt to tasks that read some of them after one another (``common.file_tasks``).
         """
         index = self.index
         if wanted is not None:
@@ -169,8 +170,9 @@ class TokenFiles:
 
         kind = index.schema["doc_id"].dataType.simpleString()
         # A given number of partitions is kept; otherwise the short index would be merged into a few tasks.
-        n_files = index.select("path").distinct().count()
-        ordered = index.repartition(max(n_files, 1), "path").sortWithinPartitions("path", "at")
+        files = index.groupBy("path").agg(F.sum(F.col("n_tokens") * F.col("width")).alias("bytes"))
+        n_files, n_bytes = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        ordered = index.repartition(file_tasks(n_files, n_bytes), "path").sortWithinPartitions("path", "at")
         return ordered.select("doc_id", "start", "n_tokens", "path", "at", "width").mapInArrow(
             load, f"doc_id {kind}, start long, n_tokens long, ids binary"
         )

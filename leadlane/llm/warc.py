@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlane.llm.common import slices
+from leadlane.llm.common import file_tasks, slices
 from leadlane.llm.remote import file_system
 from leadlane.sources.staging import Workspace
 
@@ -26,6 +26,8 @@ from leadlane.sources.staging import Workspace
 LEAST_BYTES = 100
 FILE_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
+#: Metadata of the list of files: the type of the page ids.
+ID_TYPE = "page_id_type"
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -34,8 +36,9 @@ MEMBER_START = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Largest member that the reader decompresses; a longer one is taken for damaged.
-MEMBER_BYTES = 1 << 30
+#: Largest member that the reader decompresses; a longer one is taken for damaged. It is the longest payload that a
+#: Spark column can hold, and room for the headers, so the reader takes whatever the writer can write.
+MEMBER_BYTES = (1 << 31) + (1 << 20)
 
 
 def record_id(page_id) -> str:
@@ -185,6 +188,8 @@ def write_archives(
 ) -> DataFrame:
     """Write a record per row of ``pages`` and return the list of files: ``path, records, bytes``.
 
+    The column ``path`` carries the type of the ids as metadata, for ``read_archives``.
+
     Of rows with equal payloads of at least ``least_bytes`` bytes, the one with the smallest id is a response and the
     others are revisits that refer to it; all other rows are responses. Null html is an empty payload. Repeated rows
     of the smallest id are all responses. Null ids count as largest; if all ids of a group are null, its rows are
@@ -230,17 +235,23 @@ def write_archives(
 
     names = ("page_id", "url", "payload", "digest", "n_bytes", "first_id", "is_response")
     written = ready.select(*names).mapInArrow(write, "path string, records long, bytes long")
-    return workspace.stage(written, "archive-list")
+    listed = workspace.stage(written, "archive-list")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return listed.withColumn("path", F.col("path").alias("path", metadata={ID_TYPE: kind}))
+
 
+def read_archives(files: DataFrame, id_type: str | None = None) -> DataFrame:
+    """Records and gaps of the files in a table with a ``path`` column and, if known, a ``bytes`` column.
 
-def read_archives(files: DataFrame, id_type: str = "long") -> DataFrame:
-    """Records and gaps of the files in a table with a ``path`` column.
+    Page ids get the type ``id_type``, else the one that the writer noted on ``path``, else long.
 
     Per record ``path, offset, end, record_type, page_id, payload, payload_bytes, payload_digest, refers_to``; size and
     digest are those of the full payload, computed from it for responses and taken from the header for revisits. A
     response whose payload does not match its payload digest is reported as a gap. Gaps have the type ``gap`` and
-    only a place. Files are read one per task at a time, each bounded in size by its writer.
+    only a place. A task holds one file at a time, each bounded in size by its writer. Thousands of files have a task each;
+    more are dealt to tasks that read some of them after one another (``common.file_tasks``).
     """
+    id_type = id_type or files.schema["path"].metadata.get(ID_TYPE, "long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("path", "offset", "end", "record_type", "page_id", "payload", "payload_bytes", "payload_digest", "refers_to")
@@ -270,8 +281,9 @@ def read_archives(files: DataFrame, id_type: str = "long") -> DataFrame:
 
     schema = "path string, `offset` long, `end` long, record_type string, page_id string, payload binary, payload_bytes long, payload_digest string, refers_to string"
     # A given number of partitions is kept; otherwise the short list would be merged into one task.
-    paths = files.select("path")
-    records = paths.repartition(max(paths.count(), 1), "path").mapInArrow(read, schema)
+    size = F.col("bytes") if "bytes" in files.columns else F.lit(FILE_BYTES)
+    n_files, n_bytes = files.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    records = files.select("path").repartition(file_tasks(n_files, n_bytes), "path").mapInArrow(read, schema)
     return records.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 

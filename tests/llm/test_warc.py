@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 from leadlane.llm import warc
+from leadlane.llm.common import file_tasks
 from leadlane.sources.staging import Workspace
 
 SCHEMA = "page_id long, url string, html string"
@@ -46,6 +47,21 @@ def test_round_trip(spark):
     assert nothing.count() == 0 and warc.read_archives(nothing).collect() == []
 
 
+def test_ids_keep_the_type_they_were_written_with(spark):
+    long = "<p>same</p>" * 20
+    pages = [("b-2", "u", long), ("a-1", "u", long), ("c", None, "short"), (None, "u", None)]
+    records = warc.read_archives(warc.write_archives(spark.createDataFrame(pages, SCHEMA.replace("long", "string"))))
+    assert records.schema["page_id"].dataType.simpleString() == "string"
+    assert rows_of(records) == expected(pages)
+
+
+def test_a_task_reads_several_of_very_many_files(spark):
+    many = spark.range(1_000_000).selectExpr("concat('a/', id) AS path", "32L << 20 AS bytes")
+    plans = [warc.read_archives(t)._jdf.queryExecution().optimizedPlan().toString() for t in (many, many.select("path"), many.limit(7))]
+    assert "], 15625" in plans[0] and "], 15625" in plans[1] and "], 7" in plans[2]
+    assert [file_tasks(n, b) for n, b in ((0, 0), (1, 1 << 40), (4096, 0), (5000, 0), (800_000, 100 << 40))] == [1, 1, 4096, 4096, 51200]
+
+
 def test_query(spark):
     from leadlane.llm.queries import op2_warc
 
