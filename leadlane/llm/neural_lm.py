@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlane.llm.common import slices
@@ -260,14 +260,13 @@ class LanguageModel:
     def _count_words(self) -> DataFrame:
         """``block, place, word, c``: training count of each word of each block; ``first`` once per word.
 
-        A word has one row per block, so no word's rows outnumber the blocks.
+        A word has one row per block, so no word's rows outnumber the blocks. The counts are summed on the map side; the
+        rows of a frequent word, which are many, meet its count in a join that may be split.
         """
         lists = self.indexed.filter("words IS NOT NULL").select("block", F.arrays_zip("words", "n_train").alias("w"))
         rows = lists.select("block", F.posexplode("w").alias("place", "w")).select("block", "place", "w.words", "w.n_train")
-        whole = Window.partitionBy("words")
-        counted = rows.withColumn("c", F.sum("n_train").over(whole)).withColumn(
-            "first", F.row_number().over(whole.orderBy("block", "place")) == 1
-        )
+        whole = rows.groupBy("words").agg(F.sum("n_train").alias("c"), F.min("block").alias("first_block"))
+        counted = rows.join(whole, "words").withColumn("first", F.col("block") == F.col("first_block"))
         ending = F.pmod(F.crc32(F.substring("words", -2, 2).cast("binary")), F.lit(ENDINGS)).cast("int")
         half = (F.col("c") == 1) & (F.pmod(F.crc32(F.col("words").cast("binary")), F.lit(2)) == 0)
         return self.workspace.stage(
