@@ -39,6 +39,8 @@ DIMENSIONS = 16
 ROUNDS = 2
 BATCH = 2048
 NOISE = 32
+#: Exponentials of numbers up to this far from zero, and their sums, are in the range of 32-bit numbers as they are.
+SAFE_LOGIT = 60.0
 RATE = 0.2
 #: Set on words seen once of which half stand for unknown tokens while training.
 AS_UNKNOWN = 0x8000
@@ -153,11 +155,16 @@ class Parameters:
         return out
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        total = self.seen[contexts[:, 0]] * self.places[0]
+        total = (self.seen * self.places[0]).take(contexts[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            total += self.seen[contexts[:, k]] * self.places[k]
+            total += (self.seen * self.places[k]).take(contexts[:, k], axis=0)
         return total
 
+    def largest_logit(self, predicted: np.ndarray) -> float:
+        """No logit of these predictions, of any unit, is farther from zero."""
+        lengths = [np.sqrt(np.einsum("ij,ij->i", m, m).max()) for m in (predicted, self.next)]
+        return float(lengths[0] * lengths[1] + np.abs(self.bias).max())
+
 
 def contexts_of(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The last units before every position, nearest first, within the position's own text."""
@@ -223,14 +230,19 @@ def log10_units(parameters: Parameters, valid: np.ndarray, units: np.ndarray, st
     contexts = contexts_of(given, starts)
     weights = np.ascontiguousarray(parameters.next.T)
     bias = np.where(valid, parameters.bias, -np.inf).astype(np.float32)
+    ones = np.ones(len(bias), np.float32)
     for a in range(0, len(units), BATCH):
-        logits = parameters.predicted(contexts[a : a + BATCH]) @ weights + bias
+        predicted = parameters.predicted(contexts[a : a + BATCH])
+        logits = predicted @ weights
+        logits += bias
         n = len(logits)
         picked = logits[np.arange(n), units[a : a + n]].astype(np.float64)
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
+        top = np.float32(0)
+        if parameters.largest_logit(predicted) > SAFE_LOGIT:
+            top = logits.max(axis=1)
+            logits -= top[:, None]
         np.exp(logits, out=logits)
-        out[a : a + n] = picked - top[:, 0] - np.log(logits.sum(axis=1, dtype=np.float64))
+        out[a : a + n] = picked - top - np.log((logits @ ones).astype(np.float64))
     return out / np.log(10)
 
 

@@ -91,3 +91,24 @@ def test_contexts_stay_within_a_text():
     s = lm.START
     assert got[0].tolist() == [s] * 4 and got[2].tolist() == [11, 10, s, s]
     assert got[3].tolist() == [s] * 4 and got[9].tolist() == [18, 17, 16, 15]
+
+
+def test_scores_equal_plain_log_softmax():
+    rng = np.random.default_rng(3)
+    units = rng.integers(0, lm.UNITS, 5000).astype(np.int32)
+    starts = np.arange(0, 5000, 37)
+    valid = np.ones(lm.UNITS, bool)
+    valid[[5, 9]] = False
+    units[~valid[units]] = 6
+    for scale in (0.3, 3.0):  # the second has logits beyond the safe range
+        p = lm.Parameters(rng.normal(0, scale, lm.Parameters.size()).astype(np.float32))
+        contexts = lm.contexts_of(units, starts)
+        q = sum(p.seen[contexts[:, k]].astype(float) * p.places[k] for k in range(lm.CONTEXT))
+        assert np.allclose(p.predicted(contexts), q, atol=1e-4)
+        logits = np.where(valid, q @ p.next.T.astype(float) + p.bias, -np.inf)
+        assert np.abs(logits[:, valid]).max() <= p.largest_logit(q.astype(np.float32)) * (1 + 1e-5)
+        assert (p.largest_logit(q.astype(np.float32)) > lm.SAFE_LOGIT) == (scale == 3.0)
+        top = logits.max(axis=1, keepdims=True)
+        expected = (logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[np.arange(5000), units] / np.log(10)
+        found = lm.log10_units(p, valid, units, starts, [None] * len(starts))
+        assert np.allclose(found, expected, rtol=1e-4, atol=1e-4)
