@@ -39,6 +39,21 @@ def lead_filter(
     return condition
 
 
+def bucket_scores(recommendations: Iterable[str], contact_now: float, nurture: float) -> Column:
+    """Whether a score can belong to a lead in one of the buckets; Parquet statistics can decide it for whole pages.
+
+    It follows from the bucket and never replaces that filter: hard disqualifiers, whose score is zero, share their
+    score with other leads. Unknown buckets have no scores.
+    """
+    score = F.col("score")
+    scores = {
+        rules.CONTACT_NOW: score >= float(contact_now),
+        rules.NURTURE: (score >= float(nurture)) & (score < float(contact_now)),
+        rules.DISQUALIFY: (score < float(min(contact_now, nurture))) | (score <= 0.0),
+    }
+    return reduce(or_, [scores[b] for b in recommendations if b in scores], F.lit(False))
+
+
 def filter_leads(ranked: DataFrame, **filters) -> DataFrame:
     return ranked.filter(lead_filter(**filters))
 

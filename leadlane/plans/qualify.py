@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadlane import rules
 from leadlane.operators.clean import check_columns, clean_rows, origin_columns, row_keys
 from leadlane.operators.dedup import dedupe
-from leadlane.operators.explore import count_each, filter_leads
+from leadlane.operators.explore import bucket_scores, count_each, filter_leads
 from leadlane.operators.ranking import rank_leads, top_leads
 from leadlane.operators.scoring import add_verdict, recommend, score_parts
 from leadlane.plans.publish import publish, read_published
@@ -91,8 +91,16 @@ class LeadRun:
         return self._worded(top_leads(self.parts, n))
 
     def filtered(self, **filters) -> DataFrame:
-        """The ranked leads that pass the filters of ``explore.lead_filter``; only these are sorted."""
-        passing = filter_leads(self.leads, **filters)
+        """The ranked leads that pass the filters of ``explore.lead_filter``; only these are sorted.
+
+        Buckets are also put as bounds of the score, which a materialised run is clustered by, so that the scan skips
+        what holds other scores.
+        """
+        parts = self.parts
+        if (buckets := filters.get("recommendations")) is not None:
+            filters["recommendations"] = buckets = list(buckets)
+            parts = parts.filter(bucket_scores(buckets, self.contact_now, self.nurture))
+        passing = filter_leads(add_verdict(parts, self.contact_now, self.nurture), **filters)
         return rank_leads(passing).select(*ranked_columns(passing))
 
     def excluded(self) -> DataFrame:
@@ -147,7 +155,7 @@ class LeadRun:
         """Write the excluded rows and the scored leads once; all tables then read what is written.
 
         Both writes count their rows on the way, so the summary needs no pass of its own. Rows that do not add up to
-        those read are an error.
+        those read are an error. Scores are written in order within each file.
         """
         workspace = workspace or self.workspace or Workspace(self.decided.sparkSession)
         reason = F.col("reason")
@@ -160,7 +168,7 @@ class LeadRun:
         )
         bucket = recommend(F.col("score"), F.col("hard_disqualify"), F.lit(float(self.contact_now)), F.lit(float(self.nurture)))
         per_bucket = {b: F.count_if(bucket == b) for b in rules.BUCKETS}
-        scored, leads = workspace.stage_counted(self.parts, "scored", qualified_rows=F.count(F.lit(1)), **per_bucket)
+        scored, leads = workspace.stage_counted(self.parts.sortWithinPartitions("score"), "scored", qualified_rows=F.count(F.lit(1)), **per_bucket)
         total = left_out["excluded"] + leads["qualified_rows"]
         check_total(self.rows_read, total)
         return replace(self, decided=excluded, parts=scored, rows_read=total, counts={"total_rows_read": total, **left_out, **leads})
