@@ -64,3 +64,18 @@ def test_no_python_in_the_plan(spark):
 
     plan = op6_quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than any sample would hold; the filter of their ids lets all of them pass."""
+    rows = [(i, f"w{i % 7} v{i % 11}") for i in range(21_000)] + [(None, "w0 x"), (3, "again y"), (50_000, "other z")]
+    labels = [(i, 1, 0) for i in range(21_000)] + [(None, 1, 0), (50_000, 0, 0)]
+    docs, trusted = spark.createDataFrame(rows, SCHEMA), quality.trusted_ids(spark.createDataFrame(labels, LABELS))
+    assert trusted.count() == 21_000
+    marked = quality.with_trust(docs, trusted, quality.Workspace(spark))
+    found = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in marked.filter("is_trusted = 1").collect())
+    assert found == sorted((False, i, t) for i, t in rows if i is not None and i < 21_000)
+    assert marked.count() == len(rows)
+    scored = spark.createDataFrame([(i, float(i)) for i in range(21_000)], "doc_id long, score double")
+    assert quality.fit_threshold(scored, trusted) == pytest.approx(10499.5 - quality.SPREADS * (10499.5 - 1049.95))
+    assert quality.fit_threshold(scored, trusted.limit(0)) is None
