@@ -33,6 +33,9 @@ RAW_SCHEMA = T.StructType(
 KEY = "lead_id_canonical"
 # Runs of a level that make one of the next.
 MERGE_EVERY = 8
+# Files of a batch, where the caller does not say.
+FEWEST_FILES = 4
+FILES_PER_CORE = 2
 # Fixed by Spark's source for whole files.
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -136,14 +139,21 @@ class LeadStream:
         reader = self.spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
         return reader.parquet(inbox).withColumn("source_file", F.col("_metadata.file_path"))
 
-    def drain(self, inbox: str, files_per_batch: int = 4) -> None:
-        """Process everything in a folder of Parquet files of raw leads that is not yet processed, then stop."""
+    def _files(self, files_per_batch: int | None) -> int:
+        return files_per_batch or max(FEWEST_FILES, FILES_PER_CORE * self.spark.sparkContext.defaultParallelism)
+
+    def drain(self, inbox: str, files_per_batch: int | None = None) -> None:
+        """Process everything in a folder of Parquet files of raw leads that is not yet processed, then stop.
+
+        By default a batch has files for every core, so that none waits while a few read.
+        """
+        files_per_batch = self._files(files_per_batch)
         self.writer(self.read_inbox(inbox, files_per_batch)).trigger(availableNow=True).start().awaitTermination()
 
-    def drain_exports(self, inbox: str, files_per_batch: int = 4) -> None:
+    def drain_exports(self, inbox: str, files_per_batch: int | None = None) -> None:
         """The same for a folder of CSV exports, which only ever gets new files."""
         # Contents are not selected, so this reads no more than the listing.
-        found = self.spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(inbox)
+        found = self.spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", self._files(files_per_batch)).load(inbox)
         stream = found.select("path").writeStream.foreachBatch(self.add_exports)
         stream.option("checkpointLocation", f"{self.checkpoint_path}-exports").trigger(availableNow=True).start().awaitTermination()
 
