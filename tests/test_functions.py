@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import date
 
 import pytest
@@ -161,3 +162,15 @@ def test_phrase_patterns_match_like_a_plain_search(evaluate):
 
 def test_case_folding_covers_the_special_letters(evaluate):
     check(evaluate, text.fold_case, {"Price ſenſitive": "price sensitive", "tıny": "tiny", "ABC": "abc"})
+
+
+def test_squeeze_finds_every_whitespace_without_a_pattern(evaluate):
+    from pyspark.sql import functions as F
+
+    from leadlane.functions.text import WHITESPACE, squeeze
+
+    texts = [f"a{w}b" for w in WHITESPACE] + [f"a{w} b c" for w in WHITESPACE] + ["a b  c", "a b", "a\x00b\x7f c", "é b", "é\u2003 b", "", None]
+    expected = [None if t is None else re.sub(f"[{re.escape(WHITESPACE)}]+", " ", t) for t in texts]
+    assert evaluate(squeeze, texts) == expected
+    condition = str(squeeze(F.col("v"))).split(" THEN ")[0]
+    assert "RLIKE" not in condition.upper()
