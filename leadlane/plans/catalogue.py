@@ -11,6 +11,7 @@ from leadlane import rules
 from leadlane.functions import contact, dates, numbers
 from leadlane.functions.text import squeeze
 from leadlane.operators import clean, dedup, explore, icp, notes, ranking, scoring
+from leadlane.plans.job import compile_methods
 from leadlane.plans.qualify import LeadRun, dispositions, kept_leads, qualify, ranked_columns, run
 from leadlane.sources.lead_csv import write_csv
 from leadlane.sources.order_leads import order_leads
@@ -27,16 +28,21 @@ FILTER_BUCKETS = (rules.CONTACT_NOW, rules.NURTURE)
 SWEEP = tuple((c, n) for c in (55.0, 65.0, 75.0) for n in (30.0, 40.0, 50.0))
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compile_methods(spark)
+    return order_leads(spark, sf_dir)
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.to_cells(order_leads(spark, sf_dir))
+    return clean.to_cells(_raw(spark, sf_dir))
 
 
 def _run(spark: SparkSession, sf_dir: str) -> LeadRun:
-    return qualify(order_leads(spark, sf_dir))
+    return qualify(_raw(spark, sf_dir))
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_leads(order_leads(spark, sf_dir))
+    return kept_leads(_raw(spark, sf_dir))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.classify_notes(clean.clean_records(order_leads(spark, sf_dir)), notes_are_clean=True)
+    return notes.classify_notes(clean.clean_records(_raw(spark, sf_dir)), notes_are_clean=True)
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +123,7 @@ def parse_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def junk_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.with_junk_reason(order_leads(spark, sf_dir)).select("source_row", "reason")
+    return clean.with_junk_reason(_raw(spark, sf_dir)).select("source_row", "reason")
 
 
 def junk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +131,12 @@ def junk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = clean.clean_records(order_leads(spark, sf_dir))
+    records = clean.clean_records(_raw(spark, sf_dir))
     return records.withColumn("created_date", _iso("created_date"))
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = clean.clean_records(order_leads(spark, sf_dir))
+    records = clean.clean_records(_raw(spark, sf_dir))
     return records.select("source_row", dedup.completeness(rules.COMPLETENESS_FIELDS, records).alias("filled"))
 
 
@@ -139,7 +145,7 @@ def dedup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dispositions(order_leads(spark, sf_dir)).filter(~F.col("is_primary"))
+    rows = dispositions(_raw(spark, sf_dir)).filter(~F.col("is_primary"))
     return rows.select("source_row", "lead_id", "duplicate_of")
 
 
@@ -275,7 +281,7 @@ def pain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_matches_website(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = clean.clean_records(order_leads(spark, sf_dir))
+    records = clean.clean_records(_raw(spark, sf_dir))
     matched = explore.email_matches_website(F.col("email"), F.col("website"))
     return records.select("source_row", matched.alias("same_domain"))
 
@@ -287,7 +293,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the raw leads in row order as CSV, read them back with row numbers of their own, and run."""
     workspace = Workspace(spark)
     path = f"{workspace.root}/leads.csv"
-    raw = order_leads(spark, sf_dir)
+    raw = _raw(spark, sf_dir)
     write_csv(raw.orderBy("source_row").select(*rules.COLUMNS), path)
     return run(spark, path, workspace=workspace).materialize().ranked()
 
@@ -296,7 +302,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliver the raw leads to a file stream in several files, then read the primaries off the stream's tables."""
     workspace = Workspace(spark)
     inbox = f"{workspace.root}/inbox"
-    order_leads(spark, sf_dir).write.parquet(inbox)
+    _raw(spark, sf_dir).write.parquet(inbox)
     stream = LeadStream(spark, f"{workspace.root}/stream")
     stream.drain(inbox)
     return stream.current().leads.select("source_row", "lead_id", "score", "recommendation")

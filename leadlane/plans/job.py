@@ -35,7 +35,11 @@ FEW_TASKS = 4096
 # The longest scan split; with the growth above it keeps maps x reducers, the blocks of a shuffle, in the billions.
 SCAN_BYTES = 1024 * 1024 * 1024
 # Spark's own values. A session with others has been set by its user and is left alone.
-SPARK_DEFAULTS = {"spark.sql.shuffle.partitions": ("200",), "spark.sql.files.maxPartitionBytes": ("134217728b", "134217728", "128MB")}
+SPARK_DEFAULTS = {
+    "spark.sql.shuffle.partitions": ("200",),
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "134217728", "128MB"),
+    "spark.sql.codegen.hugeMethodLimit": ("65535",),
+}
 
 
 def task_counts(input_bytes: int) -> tuple[int, int]:
@@ -47,6 +51,16 @@ def task_counts(input_bytes: int) -> tuple[int, int]:
     return round(FEW_TASKS * growth ** (1 / 3)), min(SCAN_BYTES, round(TASK_BYTES * growth ** (2 / 3)))
 
 
+def compile_methods(spark: SparkSession) -> None:
+    """Keep generated methods within what the JVM compiles, unless the session's user has set a limit.
+
+    A longer method runs interpreted, row after row, which doubles the time of cleaning.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) in SPARK_DEFAULTS[key]:
+        spark.conf.set(key, SESSION_SETTINGS[key])
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     """Raise the number of shuffle partitions and the scan splits to what the input needs; never lower them.
 

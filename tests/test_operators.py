@@ -363,3 +363,20 @@ def test_quantiles_of_values_with_many_ties(spark):
         assert (row["n"], row["min"], row["max"]) == (len(values), values[0], values[-1])
         assert (row["q1"], row["median"], row["q3"]) == pytest.approx((at(0.25), at(0.5), at(0.75)))
     assert got.count() == 2
+
+
+def test_queries_keep_generated_methods_short_enough_to_compile(spark):
+    from leadlane.plans.catalogue import QUERIES
+    from leadlane.plans.job import SESSION_SETTINGS, compile_methods
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        QUERIES["clean_text_fields"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == SESSION_SETTINGS[key]
+        spark.conf.set(key, "9000")
+        compile_methods(spark)
+        assert spark.conf.get(key) == "9000"
+    finally:
+        spark.conf.set(key, before)
