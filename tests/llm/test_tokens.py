@@ -57,6 +57,44 @@ def test_segments_give_the_ids_of_whole_texts(name, monkeypatch):
     assert len(n) == len(ids) == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_cuts_before_symbols_give_the_ids_of_whole_texts(name):
+    rng = random.Random(31)
+    bits = ["a", "Word", "it's", "é", " ", " ", "\n", "'s", "7", "\u0338", "\u0301", "\u20e3", "Σ", "<", "<|", "|>", "<|endoftext|>", "\u3000", "\x85", "\x1c", *'.,;:!?)]}("#*$%&|>=-\'']
+    texts = ["foo### bar$$$ x%%%.y a!'s b:'s", "a:Σ b.Σ", "end\x85", "end\n\n", " \nfoo", "a \nfoo", "a b\n", "a<|endoftext|>! b", "f(x)[1]{2}.", "a#\u0338 b)\u0301"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    encode, plain = segments.encoder.__wrapped__(name), direct(name)
+    n, ids = encode.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(n).tolist()
+    for text, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == plain(text), repr(text)
+
+
+def test_the_tokenizer_gets_words_once_and_without_marks(monkeypatch):
+    import tokenizers
+
+    given = []
+
+    class Spy:
+        def __init__(self, model):
+            self.model = model
+
+        def __getattr__(self, name):
+            return getattr(self.model, name)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.model.encode_batch_fast(texts, **options)
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(lambda path: Spy(real.from_file(path)))}))
+    encode = segments.encoder.__wrapped__(token_files.BYTE_TOKENIZER)
+    given.clear()
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(600)]
+    encode.encode(pa.array([" ".join(w + end for w in words) for end in ("", "###", "!", ";", "%%")], pa.string()))
+    assert sum(map(len, given)) <= 1.05 * sum(len(w) + 1 for w in words)
+
+
 def table(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), SCHEMA).selectExpr("*", "1 AS length", "2 AS OFFSET", "'x' AS n_tokens")
 
