@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlane.llm.alignment import best_within
-from leadlane.llm.common import slices
+from leadlane.llm.common import in_clean_worker, slices
 
 Q = 8
 WINDOW = 120
@@ -50,7 +50,9 @@ def _qgrams(data: bytes) -> np.ndarray:
 
 
 def _places(codes: np.ndarray) -> np.ndarray:
-    return (codes * _MULTIPLIER) >> np.uint64(64 - _HASH_BITS)
+    places = codes * _MULTIPLIER
+    places >>= np.uint64(64 - _HASH_BITS)
+    return places
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +238,7 @@ def find_passages(
     schema = "doc_id {}, item_id {}, n_windows int, edits int, `start` long, `end` long".format(*kinds)
 
     def searcher(items: list):
+        @in_clean_worker
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(items, window, errors)
             item_of = windows.item_of
@@ -289,6 +292,7 @@ def clean_documents(
     text_at = inner[docs.columns.index(text_col)]
 
     def sieve(items: list):
+        @in_clean_worker
         def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(items, window, errors)
             for part in slices(batches, text_at, SLICE_BYTES):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlane.llm.common import slices
+from leadlane.llm.common import in_clean_worker, slices
 from leadlane.sources.staging import Workspace
 
 #: Lines in the rolling window, and the mean number of lines from one boundary to the next.
@@ -97,6 +97,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     ]
 
 
+@in_clean_worker
 def _passage_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines and hash of every chunk that may be removed and of every window."""
     for part in slices(batches, "text"):
@@ -117,6 +118,7 @@ def _passage_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+@in_clean_worker
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the lines listed in ``lines``."""
     for part in slices(batches, "text"):
@@ -190,6 +192,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], *_keyed(docs, id_col, text_col))
     joined = rows.join(listed.hint("merge"), ["k1", "k2"], "left").drop("k1", "k2")
 
+    @in_clean_worker
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_at):
             texts = part.column(text_at).to_pylist()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlane.llm.alignment import distance_within
-from leadlane.llm.common import list_parts, word_hashes, words_of
+from leadlane.llm.common import in_clean_worker, list_parts, word_hashes, words_of
 from leadlane.llm.components import components
 from leadlane.operators.key_filter import blocks_for, key_filter, with_may_hold
 from leadlane.sources.staging import Workspace
@@ -102,6 +102,7 @@ def _pick(code: np.ndarray, count: int, all_seeds: np.ndarray) -> np.ndarray:
     return keys
 
 
+@in_clean_worker
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words, bins and sketches of every text."""
     for batch in batches:
@@ -141,6 +142,7 @@ def _distance(a: str, b: str, similarity: float) -> int | None:
 def _by_group(of_group, names: tuple[str, ...]):
     """Arrow function over rows sorted by ``part``: the pairs that ``of_group`` finds in the rows of each."""
 
+    @in_clean_worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -283,6 +285,7 @@ def _cross(similarity: float):
 def _join_leaders(similarity: float):
     """Arrow function over rows joined with their bucket's leader: the pairs that may match."""
 
+    @in_clean_worker
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, leader_n = (batch.column(c).to_numpy() for c in ("n", "leader_n"))
@@ -293,6 +296,7 @@ def _join_leaders(similarity: float):
 
 
 def _align(similarity: float):
+    @in_clean_worker
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
@@ -334,10 +338,14 @@ class NearDuplicates:
         about = self.nodes.select("node", "n", "bins")
         return stage(keys.join(sizes.hint("merge"), "key").join(about.hint("merge"), "node"), "active")
 
+    def _no_links(self) -> DataFrame:
+        # A range needs no Python workers, as rows given by a list do.
+        return self.nodes.sparkSession.range(0).select(*[F.col("id").alias(c) for c in ("node", "leader", "edits")])
+
     def _find_links(self) -> DataFrame:
         stage = self.workspace.stage
         active = self._buckets()
-        links = self.nodes.sparkSession.createDataFrame([], "node long, leader long, edits long")
+        links = self._no_links()
         if active.isEmpty():
             return links
         small, large = active.filter(F.col("size") <= BUCKET_ROWS), active.filter(F.col("size") > BUCKET_ROWS)
@@ -360,7 +368,7 @@ class NearDuplicates:
         """Links between marked rows of a part, found in one task each that holds their words."""
         stage = self.workspace.stage
         if marked.isEmpty():
-            return self.nodes.sparkSession.createDataFrame([], "node long, leader long, edits long")
+            return self._no_links()
         # A node has few sketches, so it is in few parts.
         about = marked.groupBy("node").agg(F.sort_array(F.collect_set("part")).alias("parts")).join(roots.hint("merge"), "node", "left")
         about = stage(about.select("node", "parts", F.coalesce("root", "node").alias("root")), "marked-nodes")

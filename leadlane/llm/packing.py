@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadlane.llm.common import slices
+from leadlane.llm.common import give_back, slices
 from leadlane.llm.segments import encoder
 from leadlane.sources.staging import Workspace
 
@@ -47,6 +47,8 @@ def pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder(tokenizer)
+        give_back()  # what reading the tokenizer, and other work of this worker before, has left
         for part in slices(batches, "text"):
             n_tokens, ids = encoder(tokenizer).encode(part.column("text"))
             docs_at, numbers, starts, lengths, sums, binaries = [], [], [], [], [], []
@@ -128,6 +130,12 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
+def _table(spark: SparkSession, rows: list[tuple[int, ...]], names: tuple[str, ...]) -> DataFrame:
+    """Rows of whole numbers, given to Spark as Arrow columns: a list of rows would take Python workers of its own."""
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], list(names)))
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY, workspace: Workspace | None = None) -> DataFrame:
     """Give every row of a table with a ``length`` column a ``sequence_id`` and an ``offset``.
 
@@ -151,7 +159,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, workspace: Workspace | None =
     histogram = {r["len"]: r["count"] for r in found}
 
     groups = [(n, 1 + count // max(_GROUP, int(count**0.5))) for n, count in histogram.items()]
-    dealt = staged.join(F.broadcast(spark.createDataFrame(groups, "len long, groups long")), "len").withColumn(
+    dealt = staged.join(F.broadcast(_table(spark, groups, ("len", "groups"))), "len").withColumn(
         "grp", F.pmod(F.xxhash64("row"), F.col("groups"))
     )
     sizes = dealt.groupBy("len", "grp").agg(F.count("*").alias("n"))
@@ -162,11 +170,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, workspace: Workspace | None =
     within = F.row_number().over(Window.partitionBy("len", "grp").orderBy("row")) - 1
     ranked = dealt.withColumn("within", within).join(before, ["len", "grp"]).withColumn("rank", F.col("before") + F.col("within"))
 
-    plan = spark.createDataFrame(plan_slots(histogram, capacity), "len long, first long, n long, seq long, offset long")
+    plan = _table(spark, plan_slots(histogram, capacity), ("len", "first", "n", "seq", "offset"))
     slots = plan.select(
         "*", F.explode(F.expr(f"sequence(first div {_BLOCK}, (first + n - 1) div {_BLOCK})")).alias("block")
     )
-    placed = ranked.withColumn("block", F.expr(f"rank div {_BLOCK}")).join(slots, ["len", "block"])
+    placed = ranked.withColumn("block", F.expr(f"rank div {_BLOCK}")).join(slots.hint("merge"), ["len", "block"])
     placed = placed.filter("rank >= first AND rank < first + n")
     return placed.select(
         *[F.col(i).alias(c) for c, i in zip(names, inner)],
