@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlane.llm.common import slices
+from leadlane.llm.common import give_back, in_clean_worker, slices
 from leadlane.sources.staging import Workspace
 
 #: Text that shares one dictionary of words.
@@ -39,13 +39,16 @@ DIMENSIONS = 16
 ROUNDS = 2
 BATCH = 2048
 NOISE = 32
+#: Positions normalised over all units at a time; their logits stay in a core's cache.
+SCORED = 512
 #: Exponentials of numbers up to this far from zero, and their sums, are in the range of 32-bit numbers as they are.
 SAFE_LOGIT = 60.0
 RATE = 0.2
 #: Set on words seen once of which half stand for unknown tokens while training.
 AS_UNKNOWN = 0x8000
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Place of every number in a table of units, as a flat array.
+CELLS = np.arange((UNITS + 1) * DIMENSIONS).reshape(UNITS + 1, DIMENSIONS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,22 +56,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+@in_clean_worker
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as numbers into the word list of their block, and one more row per block with that list."""
-    kinds = [("block", pa.int64()), ("doc_id", None), ("held_out", pa.bool_()), ("ids", pa.binary())]
-    kinds += [("words", pa.list_(pa.string())), ("n_train", pa.list_(pa.int64()))]
+    """Texts as numbers into the word list of their block, and one more row per word of that list."""
     task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def finish(parts: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
-        texts = pc.fill_null(table.column("text").combine_chunks(), "")
-        lists = pc.ascii_split_whitespace(texts)
+        parts.clear()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(table.column("text").combine_chunks(), "")))
+        table = table.drop_columns("text")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten()
         full = pc.greater(pc.binary_length(flat), 0)
         upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         offsets = upto[offsets - offsets[0]]
         coded = flat.filter(full).dictionary_encode()
+        del lists, flat, full, upto
         ids = coded.indices.to_numpy().astype("<u4")
         training = ~table.column("held_out").to_numpy()
         mine = np.repeat(training, np.diff(offsets))
@@ -79,20 +83,22 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "doc_id": table.column("doc_id").combine_chunks(),
             "held_out": table.column("held_out").combine_chunks(),
             "ids": pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-            "words": pa.nulls(n, pa.list_(pa.string())),
-            "n_train": pa.nulls(n, pa.list_(pa.int64())),
+            "word": pa.nulls(n, pa.string()),
+            "place": pa.nulls(n, pa.int32()),
+            "n_train": pa.nulls(n, pa.int64()),
         }
         yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
-        end = np.array([0, len(counts)], np.int32)
+        n = len(counts)
         rows = {
-            "block": pa.array([block]),
-            "doc_id": pa.nulls(1, rows["doc_id"].type),
-            "held_out": pa.nulls(1, pa.bool_()),
-            "ids": pa.nulls(1, pa.binary()),
-            "words": pa.ListArray.from_arrays(end, coded.dictionary),
-            "n_train": pa.ListArray.from_arrays(end, pa.array(counts)),
+            "block": pa.array(np.full(n, block)),
+            "doc_id": pa.nulls(n, rows["doc_id"].type),
+            "held_out": pa.nulls(n, pa.bool_()),
+            "ids": pa.nulls(n, pa.binary()),
+            "word": coded.dictionary,
+            "place": pa.array(np.arange(n, dtype=np.int32)),
+            "n_train": pa.array(counts),
         }
-        yield pa.RecordBatch.from_arrays(list(rows.values()), [k for k, _ in kinds])
+        yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
     for part in slices(batches, "text"):
         held.append(part)
@@ -155,9 +161,14 @@ class Parameters:
         return out
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        total = (self.seen * self.places[0]).take(contexts[:, 0], axis=0)
+        return self.summed([self.seen * place for place in self.places], contexts)
+
+    @staticmethod
+    def summed(placed: list[np.ndarray], contexts: np.ndarray) -> np.ndarray:
+        """Sums over the places of a context, of each place's own table of units."""
+        total = placed[0].take(contexts[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            total += (self.seen * self.places[k]).take(contexts[:, k], axis=0)
+            total += placed[k].take(contexts[:, k], axis=0)
         return total
 
     def largest_logit(self, predicted: np.ndarray) -> float:
@@ -168,21 +179,28 @@ class Parameters:
 
 def contexts_of(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The last units before every position, nearest first, within the position's own text."""
-    at = np.arange(len(units))
-    sizes = np.diff(np.append(starts, len(units)))
-    behind = at - np.repeat(starts, sizes)
-    out = np.full((len(units), CONTEXT), START, np.int32)
+    before = np.concatenate([np.full(CONTEXT, START, np.int64), units])
+    out = np.empty((CONTEXT, len(units)), np.int64)
     for k in range(CONTEXT):
-        ok = behind > k
-        out[ok, k] = units[at[ok] - k - 1]
-    return out
+        out[k] = before[CONTEXT - 1 - k : len(before) - 1 - k]
+    # The first positions of a text do not reach into the one before it.
+    ends = np.append(starts[1:], len(units))
+    for k in range(CONTEXT):
+        out[k:, (starts + k)[starts + k < ends]] = START
+    return out.T
 
 
 def _sum_by_id(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The rows of ``values`` added up per id."""
-    width = values.shape[1]
-    cells = ids[:, None] * width + np.arange(width)
-    return np.bincount(cells.ravel(), values.ravel(), size * width).reshape(size, width)
+    """The rows of ``values``, of 64 bits each number, added up per id."""
+    return np.bincount(CELLS.take(ids, axis=0).ravel(), values.ravel(), size * DIMENSIONS).reshape(size, DIMENSIONS)
+
+
+def _sigmoid(negated: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in the memory of x."""
+    np.clip(negated, -30, 30, out=negated)
+    np.exp(negated, out=negated)
+    negated += 1
+    return np.divide(1, negated, out=negated)
 
 
 class Trainer:
@@ -191,30 +209,38 @@ class Trainer:
     def __init__(self, parameters: Parameters, prior: np.ndarray, seed: int):
         self.p = Parameters(parameters.flat.copy())
         self.squares = np.full(len(parameters.flat), 1e-3, np.float32)
-        self.prior = prior
+        self.upto = prior.cumsum()
+        self.upto /= self.upto[-1]
         self.log_noise = np.log(np.maximum(NOISE * prior, 1e-30)).astype(np.float32)
         self.rng = np.random.default_rng(seed)
 
     def step(self, contexts: np.ndarray, targets: np.ndarray) -> None:
         p, n = self.p, len(targets)
         q = p.predicted(contexts)
-        noise = self.rng.choice(UNITS, NOISE, p=self.prior)
-        chosen = p.next[targets]
-        of_target = (q * chosen).sum(axis=1) + p.bias[targets] - self.log_noise[targets]
-        of_noise = q @ p.next[noise].T + (p.bias[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(of_target, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-of_noise, -30, 30)))
-        to_q = up[:, None] * chosen + down @ p.next[noise]
+        noise = self.upto.searchsorted(self.rng.random(NOISE), side="right")
+        chosen, drawn = p.next.take(targets, axis=0), p.next.take(noise, axis=0)
+        offset = p.bias - self.log_noise
+        of_target = (q * chosen).sum(axis=1) + p.bias.take(targets) - self.log_noise.take(targets)
+        of_noise = q @ drawn.T
+        of_noise += offset.take(noise)
+        up = _sigmoid(of_target)
+        down = _sigmoid(np.negative(of_noise, out=of_noise))
+        np.negative(down, out=down)
+        chosen *= up[:, None]
+        chosen += down @ drawn
+        to_q = chosen.astype(np.float64)
         gradient = Parameters(np.zeros_like(p.flat))
-        gradient.next[:] = _sum_by_id(targets, up[:, None] * q, UNITS)
+        gradient.next[:] = _sum_by_id(targets, (up[:, None] * q).astype(np.float64), UNITS)
         gradient.bias[:] = np.bincount(targets, up, UNITS)
         np.add.at(gradient.next, noise, down.T @ q)
         np.add.at(gradient.bias, noise, down.sum(axis=0))
         for k in range(CONTEXT):
             by_unit = _sum_by_id(contexts[:, k], to_q, UNITS + 1).astype(np.float32)
             gradient.places[k] = (by_unit * p.seen).sum(axis=0)
-            gradient.seen[:] += by_unit * p.places[k]
-        g = gradient.flat / n
+            by_unit *= p.places[k]
+            gradient.seen += by_unit
+        g = gradient.flat
+        g /= n
         self.squares += g * g
         p.flat += RATE * g / np.sqrt(self.squares)
 
@@ -228,21 +254,27 @@ def log10_units(parameters: Parameters, valid: np.ndarray, units: np.ndarray, st
             given[start : start + len(other)] = other
     out = np.empty(len(units))
     contexts = contexts_of(given, starts)
-    weights = np.ascontiguousarray(parameters.next.T)
-    bias = np.where(valid, parameters.bias, -np.inf).astype(np.float32)
-    ones = np.ones(len(bias), np.float32)
+    targets = units.astype(np.int64)
+    placed = [parameters.seen * place for place in parameters.places]
+    # The last row of the weights, which meets a one in every prediction, adds the bias.
+    weights = np.vstack([parameters.next.T, np.where(valid, parameters.bias, -np.inf)]).astype(np.float32)
+    ones = np.ones(UNITS, np.float32)
+    space = np.empty((SCORED, UNITS), np.float32)
     for a in range(0, len(units), BATCH):
-        predicted = parameters.predicted(contexts[a : a + BATCH])
-        logits = predicted @ weights
-        logits += bias
-        n = len(logits)
-        picked = logits[np.arange(n), units[a : a + n]].astype(np.float64)
-        top = np.float32(0)
-        if parameters.largest_logit(predicted) > SAFE_LOGIT:
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-        np.exp(logits, out=logits)
-        out[a : a + n] = picked - top - np.log((logits @ ones).astype(np.float64))
+        predicted = Parameters.summed(placed, contexts[a : a + BATCH])
+        safe = parameters.largest_logit(predicted) <= SAFE_LOGIT
+        predicted = np.pad(predicted, ((0, 0), (0, 1)), constant_values=1)
+        for b in range(0, len(predicted), SCORED):
+            piece = predicted[b : b + SCORED]
+            n, at = len(piece), a + b
+            logits = np.matmul(piece, weights, out=space[:n])
+            picked = logits[np.arange(n), targets[at : at + n]].astype(np.float64)
+            top = np.float32(0)
+            if not safe:
+                top = logits.max(axis=1)
+                logits -= top[:, None]
+            np.exp(logits, out=logits)
+            out[at : at + n] = picked - top - np.log((logits @ ones).astype(np.float64))
     return out / np.log(10)
 
 
@@ -257,10 +289,9 @@ class LanguageModel:
 
     def __init__(self, docs: DataFrame, unseen: Column, id_col: str = "doc_id", text_col: str = "text", workspace: Workspace | None = None):
         self.workspace = workspace or Workspace(docs.sparkSession)
-        text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-        rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), unseen.alias("held_out"))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), unseen.alias("held_out"))
         self.kind = rows.schema["doc_id"].dataType.simpleString()
-        schema = f"block long, doc_id {self.kind}, held_out boolean, ids binary, words array<string>, n_train array<long>"
+        schema = f"block long, doc_id {self.kind}, held_out boolean, ids binary, word string, place int, n_train long"
         self.indexed = self.workspace.stage(rows.mapInArrow(_index, schema), "indexed")
         self.words = self._count_words()
         self.units, self.frequent = self._choose_units()
@@ -275,14 +306,13 @@ class LanguageModel:
         A word has one row per block, so no word's rows outnumber the blocks. The counts are summed on the map side; the
         rows of a frequent word, which are many, meet its count in a join that may be split.
         """
-        lists = self.indexed.filter("words IS NOT NULL").select("block", F.arrays_zip("words", "n_train").alias("w"))
-        rows = lists.select("block", F.posexplode("w").alias("place", "w")).select("block", "place", "w.words", "w.n_train")
-        whole = rows.groupBy("words").agg(F.sum("n_train").alias("c"), F.min("block").alias("first_block"))
-        counted = rows.join(whole, "words").withColumn("first", F.col("block") == F.col("first_block"))
-        ending = F.pmod(F.crc32(F.substring("words", -2, 2).cast("binary")), F.lit(ENDINGS)).cast("int")
-        half = (F.col("c") == 1) & (F.pmod(F.crc32(F.col("words").cast("binary")), F.lit(2)) == 0)
+        rows = self.indexed.filter("word IS NOT NULL").select("block", "place", "word", "n_train")
+        whole = rows.groupBy("word").agg(F.sum("n_train").alias("c"), F.min("block").alias("first_block"))
+        counted = rows.select("block", "place", "word").join(whole, "word").withColumn("first", F.col("block") == F.col("first_block"))
+        ending = F.pmod(F.crc32(F.substring("word", -2, 2).cast("binary")), F.lit(ENDINGS)).cast("int")
+        half = (F.col("c") == 1) & (F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(2)) == 0)
         return self.workspace.stage(
-            counted.select("block", "place", F.col("words").alias("word"), "c", "first", ending.alias("ending"), half.alias("half")),
+            counted.select("block", "place", "word", "c", "first", ending.alias("ending"), half.alias("half")),
             "word-counts",
         )
 
@@ -347,9 +377,12 @@ class LanguageModel:
                 out["seen"].append(seen[ids].astype("<u2").tobytes() if (unit[ids] == UNKNOWN).any() else None)
             kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "within": pa.float64(), "units": pa.binary(), "seen": pa.binary()}
             columns = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out")}
-            return pa.table(columns | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+            done = pa.table(columns | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+            del out
+            give_back()
+            return done
 
-        docs = self.indexed.filter("words IS NULL").select("block", "doc_id", "held_out", "ids")
+        docs = self.indexed.filter("word IS NULL").select("block", "doc_id", "held_out", "ids")
         schema = f"doc_id {self.kind}, held_out boolean, n_tokens long, n_known long, base_score double, within double, units binary, seen binary"
         return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encode, schema)
 
@@ -357,6 +390,7 @@ class LanguageModel:
         """One round: every task trains on its shard from the same parameters; then their weighted mean."""
         parameters, prior = self.parameters, self.units.prior
 
+        @in_clean_worker
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(parameters, prior, number)
             steps, contexts, targets, n = 0, [], [], 0
@@ -366,17 +400,18 @@ class LanguageModel:
                 x, y = np.concatenate(contexts), np.concatenate(targets)
                 order = trainer.rng.permutation(len(y))
                 for a in range(0, len(order), BATCH):
-                    trainer.step(x[order[a : a + BATCH]], y[order[a : a + BATCH]])
+                    some = order[a : a + BATCH]
+                    trainer.step(x.take(some, axis=0), y.take(some))
                 steps += len(y)
                 contexts, targets, n = [], [], 0
 
             for part in slices(batches, "units", 1 << 20):
                 units, starts = _sequences(part)
                 plain = (units & ~np.uint16(AS_UNKNOWN)).astype(np.int32)
-                at = np.arange(number, len(units), ROUNDS)
-                contexts.append(contexts_of(plain, starts)[at])
-                targets.append(np.where(units[at] & AS_UNKNOWN, UNKNOWN, plain[at]))
-                n += len(at)
+                mine = slice(number, None, ROUNDS)
+                contexts.append(np.ascontiguousarray(contexts_of(plain, starts)[mine], np.int32))
+                targets.append(np.where(units[mine] & AS_UNKNOWN, UNKNOWN, plain[mine]))
+                n += len(targets[-1])
                 if n >= 64 * BATCH:
                     run()
             if n:
@@ -405,6 +440,7 @@ class LanguageModel:
         """
         parameters, valid = self.parameters, self.units.valid
 
+        @in_clean_worker
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = ("doc_id", "held_out", "n_tokens", "n_known", "base_score")
             for part in slices(batches, "units", 1 << 20):

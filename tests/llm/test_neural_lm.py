@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,51 @@ def test_scores_equal_plain_log_softmax():
         expected = (logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[np.arange(5000), units] / np.log(10)
         found = lm.log10_units(p, valid, units, starts, [None] * len(starts))
         assert np.allclose(found, expected, rtol=1e-4, atol=1e-4)
+
+
+def test_words_of_a_block_are_rows(monkeypatch):
+    """Texts come as they are, and no later step has to take word lists apart."""
+    monkeypatch.setattr(lm.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    columns = {"doc_id": pa.array([1, 2, None, 4]), "text": pa.array(["The cat THE", None, "Éa cat\x0b", " "]), "held_out": pa.array([False, True, False, True])}
+    docs, words = lm._index(iter([pa.RecordBatch.from_pydict(columns), pa.RecordBatch.from_pydict(columns).slice(0, 0)]))
+    assert docs.schema == words.schema and set(docs.column("block").to_pylist() + words.column("block").to_pylist()) == {3 << 24}
+    assert docs.column("doc_id").to_pylist() == [1, 2, None, 4] and docs.column("word").null_count == 4
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in docs.column("ids").to_pylist()] == [[0, 1, 0], [], [2, 1], []]
+    rows = zip(*(words.column(c).to_pylist() for c in ("word", "place", "n_train", "doc_id", "ids")))
+    assert [*rows] == [("the", 0, 2, None, None), ("cat", 1, 2, None, None), ("Éa", 2, 1, None, None)]
+
+
+def test_training_step_follows_the_plain_gradient():
+    rng = np.random.default_rng(4)
+    first = lm.Parameters(rng.normal(0, 0.3, lm.Parameters.size()).astype(np.float32))
+    prior = rng.random(lm.UNITS)
+    prior /= prior.sum()
+    contexts = rng.integers(0, lm.UNITS + 1, (500, lm.CONTEXT))
+    targets = rng.integers(0, lm.UNITS, 500)
+    trainer = lm.Trainer(first, prior, 5)
+    trainer.step(contexts, targets)
+
+    noise = np.random.default_rng(5).choice(lm.UNITS, lm.NOISE, p=prior)
+    p = lm.Parameters(first.flat.astype(float))
+    g = lm.Parameters(np.zeros_like(p.flat))
+    for context, target in zip(contexts, targets):
+        q = sum(p.seen[u] * p.places[k] for k, u in enumerate(context))
+        to_q = np.zeros(lm.DIMENSIONS)
+        for unit, wanted in [(target, 1), *((u, 0) for u in noise)]:
+            error = wanted - 1 / (1 + np.exp(-(q @ p.next[unit] + p.bias[unit] - np.log(lm.NOISE * prior[unit]))))
+            to_q += error * p.next[unit]
+            g.next[unit] += error * q
+            g.bias[unit] += error
+        for k, u in enumerate(context):
+            g.places[k] += to_q * p.seen[u]
+            g.seen[u] += to_q * p.places[k]
+    mean = g.flat / 500
+    assert np.allclose(trainer.p.flat, p.flat + lm.RATE * mean / np.sqrt(1e-3 + mean**2), atol=1e-5)
+
+
+def test_contexts_of_short_texts():
+    units = np.arange(10, 17, dtype=np.int32)
+    starts = np.array([0, 1, 3])
+    for k, row in enumerate(lm.contexts_of(units, starts).tolist()):
+        first = starts[starts <= k].max()
+        assert row == [units[k - 1 - j] if k - 1 - j >= first else lm.START for j in range(lm.CONTEXT)]
